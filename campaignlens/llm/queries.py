@@ -158,3 +158,25 @@ SELECT conv_id, count(*) AS n_turns,
   sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels outside the held-out fold."""
+    from campaignlens.llm.quality import crc_of, score_quality, train_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(crc_of(F.col("doc_id"), 5) != 0)
+    scored = score_quality(docs, train_quality(docs, labels))
+    return scored.select("doc_id", (crc_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out fold."""
+    from campaignlens.llm.quality import crc_of
+    from campaignlens.llm.toxicity import score_toxicity, train_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(crc_of(F.col("doc_id"), 3) != 1)
+    scored = score_toxicity(docs, train_toxicity(docs, labels))
+    return scored.select("doc_id", (crc_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
