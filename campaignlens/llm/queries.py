@@ -180,3 +180,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").where(crc_of(F.col("doc_id"), 3) != 1)
     scored = score_toxicity(docs, train_toxicity(docs, labels))
     return scored.select("doc_id", (crc_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+@query
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth row."""
+    from campaignlens.llm.neighbours import nearest_neighbours
+
+    found = nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
