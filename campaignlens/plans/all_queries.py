@@ -1,4 +1,4 @@
 """All registered queries of the fact operators."""
 
-from campaignlens.plans import q_facts, q_scoring, q_telemetry, q_traces  # noqa: F401
+from campaignlens.plans import q_facts, q_graph, q_scoring, q_telemetry, q_traces  # noqa: F401
 from campaignlens.plans.registry import ORACLES, QUERIES  # noqa: F401
