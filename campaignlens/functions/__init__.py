@@ -11,6 +11,11 @@ def ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole)
 
 
+def capped(value: Column) -> Column:
+    """A value up to 1; null stays null, where ``least`` alone would give 1."""
+    return F.when(value.isNotNull(), F.least(F.lit(1.0), value))
+
+
 def weighted_mean(pairs: list[tuple[float, Column]], digits: int = 6) -> Column:
     """Mean of the values that are known, by their weights; null if none is."""
     total = sum((F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for w, c in pairs[1:]), F.when(pairs[0][1].isNotNull(), F.lit(pairs[0][0])).otherwise(0.0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from campaignlens.functions import capped
+
 
 def measured() -> Column:
     return F.col("status") == "measured"
@@ -19,7 +21,7 @@ def weighted_aggregate(metrics: DataFrame, finding: Column | None = None, bonus:
         F.count_if(F.col("status") == "error").alias("n_errors"),
         F.bool_or(finding if finding is not None else F.lit(False)).alias("found"),
     )
-    score = F.round(F.least(F.lit(1.0), F.col("mean") + F.when(F.col("found"), bonus).otherwise(0.0)), 6)
+    score = F.round(capped(F.col("mean") + F.when(F.col("found"), bonus).otherwise(0.0)), 6)
     status = F.when(F.col("n_measured") == 0, "insufficient_evidence").when(F.col("n_errors") > 0, "has_errors").otherwise("eligible")
     return rows.select("candidate", score.alias("score"), "n_measured", "n_errors", status.alias("status"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from campaignlens.functions import capped, weighted_mean
+
 FIELDS = {"cov": r"\bcov: (\d+)", "ft": r"\bft: (\d+)", "corp": r"\bcorp: (\d+)", "execs": r"\bexec/s: (\d+)", "avg_execs": r"stat::average_exec_per_sec: (\d+)", "new": r"^#(\d+)\s+NEW"}
 
 
@@ -60,23 +62,21 @@ def coverage_totals(coverage: DataFrame) -> DataFrame:
 def coverage_score(coverage: DataFrame) -> DataFrame:
     """Regions before lines, as a share up to 1."""
     share = lambda k: F.sum(F.when(F.col("kind") == k, F.col("covered"))) / F.nullif(F.sum(F.when(F.col("kind") == k, F.col("total"))), F.lit(0))
-    return coverage.groupBy("run").agg(F.round(F.least(F.lit(1.0), F.coalesce(share("regions"), share("lines"))), 6).alias("score"))
+    return coverage.groupBy("run").agg(F.round(capped(F.coalesce(share("regions"), share("lines"))), 6).alias("score"))
 
 
 def speed_score(lines: DataFrame) -> DataFrame:
-    return final_telemetry(lines).select("run", F.round(F.least(F.lit(1.0), F.col("rate") / 10000), 6).alias("score"))
+    return final_telemetry(lines).select("run", F.round(capped(F.col("rate") / 10000), 6).alias("score"))
 
 
 def coverage_proxy(lines: DataFrame) -> DataFrame:
-    from campaignlens.functions import weighted_mean
-
-    value = weighted_mean([(0.6, F.least(F.lit(1.0), F.col("cov") / 64)), (0.4, F.least(F.lit(1.0), F.col("ft") / 128))])
+    value = weighted_mean([(0.6, capped(F.col("cov") / 64)), (0.4, capped(F.col("ft") / 128))])
     return final_telemetry(lines).select("run", value.alias("score"))
 
 
 def depth_proxy(lines: DataFrame) -> DataFrame:
     most = F.greatest(F.col("corp"), F.col("cov") / 4, F.col("ft") / 6)
-    return final_telemetry(lines).select("run", F.round(F.least(F.lit(1.0), F.log1p(most) / F.log1p(F.lit(32.0))), 6).alias("score"))
+    return final_telemetry(lines).select("run", F.round(capped(F.log1p(most) / F.log1p(F.lit(32.0))), 6).alias("score"))
 
 
 def crash_fidelity(frames: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 from campaignlens.operators import scoring as S
 from campaignlens.plans.registry import register
 
-A39 = """SELECT candidate, round(least(1.0, sum(coalesce(weight, 1.0) * score) FILTER (status = 'measured') / sum(coalesce(weight, 1.0)) FILTER (status = 'measured')
-  + CASE WHEN bool_or(metric = 'error' AND score >= 0.9) THEN 0.05 ELSE 0 END), 6) AS score, count(*) FILTER (status = 'measured') AS n_measured, count(*) FILTER (status = 'error') AS n_errors,
+A39 = """SELECT candidate, round(CASE WHEN count(*) FILTER (status = 'measured') > 0 THEN least(1.0, sum(coalesce(weight, 1.0) * score) FILTER (status = 'measured') / sum(coalesce(weight, 1.0)) FILTER (status = 'measured')
+  + CASE WHEN bool_or(metric = 'error' AND score >= 0.9) THEN 0.05 ELSE 0 END) END, 6) AS score, count(*) FILTER (status = 'measured') AS n_measured, count(*) FILTER (status = 'error') AS n_errors,
   CASE WHEN count(*) FILTER (status = 'measured') = 0 THEN 'insufficient_evidence' WHEN count(*) FILTER (status = 'error') > 0 THEN 'has_errors' ELSE 'eligible' END AS status FROM @metrics GROUP BY candidate"""
 LIMITS = {"view": 0.05, "click": 0.3, "purchase": 0.05}
 

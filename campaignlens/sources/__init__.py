@@ -1 +1 @@
-
+"""Readers and writers of fact documents."""

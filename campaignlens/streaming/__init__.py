@@ -1 +1,47 @@
+"""Streaming twins of batch operators."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def live_telemetry(lines: DataFrame, every: str = "10 minutes", late: str = "1 hour") -> DataFrame:
+    """Per run and window the number of lines and the largest coverage counter. ``lines`` has ts, run, line."""
+    cov = F.nullif(F.regexp_extract("line", r"\bcov: (\d+)", 1), F.lit("")).cast("long")
+    return lines.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "run").agg(F.count("*").alias("n"), F.max(cov).alias("cov")).select(F.col("w.start").alias("start"), "run", "n", "cov")
+
+
+def run_sessions(lines: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Sessions of a run's lines without a gap."""
+    return lines.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "run").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "run", "n")
+
+
+def first_contents(items: DataFrame, late: str = "10 days") -> DataFrame:
+    """Each content hash once; later copies within the watermark are dropped."""
+    return items.withWatermark("ts", late).dropDuplicatesWithinWatermark(["artefact"])
+
+
+def leaderboard(target: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: keeps each candidate's sums under ``target``, one folder a batch, so that a repeated batch writes the same."""
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        sums = batch.where("status = 'measured'").groupBy("candidate").agg(F.sum(F.col("score") * F.coalesce("weight", F.lit(1.0))).alias("s"), F.sum(F.coalesce("weight", F.lit(1.0))).alias("w"))
+        sums.write.mode("overwrite").parquet(f"{target}/batch={epoch}")
+
+    return merge
+
+
+def top_of(rows: DataFrame, k: int) -> DataFrame:
+    """The best candidates over all batches of a leaderboard."""
+    total = rows.groupBy("candidate").agg((F.sum("s") / F.sum("w")).alias("score"))
+    return total.select("candidate", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "candidate").limit(k)
+
+
+def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all there is now and give what it wrote. State and output lie under ``path``."""
+    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
