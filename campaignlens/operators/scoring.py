@@ -21,7 +21,7 @@ def weighted_aggregate(metrics: DataFrame, finding: Column | None = None, bonus:
         F.count_if(F.col("status") == "error").alias("n_errors"),
         F.bool_or(finding if finding is not None else F.lit(False)).alias("found"),
     )
-    score = F.round(capped(F.col("mean") + F.when(F.col("found"), bonus).otherwise(0.0)), 6)
+    score = F.round(capped(F.col("mean") + F.when(F.col("found"), bonus).otherwise(0.0)), 9)
     status = F.when(F.col("n_measured") == 0, "insufficient_evidence").when(F.col("n_errors") > 0, "has_errors").otherwise("eligible")
     return rows.select("candidate", score.alias("score"), "n_measured", "n_errors", status.alias("status"))
 
@@ -59,7 +59,7 @@ def distinct_top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def best_of_round(scored: DataFrame, group: str) -> DataFrame:
-    return scored.where("score IS NOT NULL").groupBy(group).agg(F.min_by("candidate", F.struct(-F.col("score"), F.col("candidate"))).alias("best"), F.round(F.max("score"), 6).alias("score"))
+    return scored.where("score IS NOT NULL").groupBy(group).agg(F.min_by("candidate", F.struct(-F.col("score"), F.col("candidate"))).alias("best"), F.round(F.max("score"), 9).alias("score"))
 
 
 def weakest_feedback(metrics: DataFrame, most: int = 8, below: float = 0.5) -> DataFrame:

@@ -6,7 +6,7 @@ from campaignlens.operators import scoring as S
 from campaignlens.plans.registry import register
 
 A39 = """SELECT candidate, round(CASE WHEN count(*) FILTER (status = 'measured') > 0 THEN least(1.0, sum(coalesce(weight, 1.0) * score) FILTER (status = 'measured') / sum(coalesce(weight, 1.0)) FILTER (status = 'measured')
-  + CASE WHEN bool_or(metric = 'error' AND score >= 0.9) THEN 0.05 ELSE 0 END) END, 6) AS score, count(*) FILTER (status = 'measured') AS n_measured, count(*) FILTER (status = 'error') AS n_errors,
+  + CASE WHEN bool_or(metric = 'error' AND score >= 0.9) THEN 0.05 ELSE 0 END) END, 9) AS score, count(*) FILTER (status = 'measured') AS n_measured, count(*) FILTER (status = 'error') AS n_errors,
   CASE WHEN count(*) FILTER (status = 'measured') = 0 THEN 'insufficient_evidence' WHEN count(*) FILTER (status = 'error') > 0 THEN 'has_errors' ELSE 'eligible' END AS status FROM @metrics GROUP BY candidate"""
 LIMITS = {"view": 0.05, "click": 0.3, "purchase": 0.05}
 
@@ -25,7 +25,7 @@ AGG = f"agg AS ({A39})"
 JOINED = "SELECT a.*, c.artefact, c.parent FROM agg a JOIN @candidates c ON c.candidate = a.candidate"
 register("a39_weighted_aggregate", aggregate, A39)
 register("a17_measured_mean", lambda t: S.weighted_aggregate(t.metrics).select("candidate", "score", "n_measured"),
-         "SELECT candidate, round(sum(coalesce(weight, 1.0) * score) FILTER (status = 'measured') / sum(coalesce(weight, 1.0)) FILTER (status = 'measured'), 6) AS score, count(*) FILTER (status = 'measured') AS n_measured FROM @metrics GROUP BY candidate")
+         "SELECT candidate, round(sum(coalesce(weight, 1.0) * score) FILTER (status = 'measured') / sum(coalesce(weight, 1.0)) FILTER (status = 'measured'), 9) AS score, count(*) FILTER (status = 'measured') AS n_measured FROM @metrics GROUP BY candidate")
 register("a18_report_status", lambda t: S.report_status(t.metrics),
          "SELECT candidate, CASE WHEN bool_or(status = 'error') THEN 'error' WHEN NOT bool_or(status = 'measured') THEN 'not_implemented' WHEN bool_and(status = 'measured') THEN 'complete' ELSE 'partial' END AS report FROM @metrics GROUP BY candidate")
 register("p15_finite_measurements", lambda t: S.finite_measurements(t.metrics), "SELECT candidate, metric, round(score, 6) AS score FROM @metrics WHERE score IS NOT NULL AND NOT isnan(score) AND abs(score) < 'inf'::DOUBLE")
@@ -37,7 +37,7 @@ SELECT candidate, CASE WHEN coalesce(e >= 0.9, false) THEN '' ELSE array_to_stri
 register("t3_distinct_top", lambda t: S.distinct_top(with_artefacts(t), 25).select("candidate", "artefact", "score"),
          f"WITH {AGG}, j AS ({JOINED}) SELECT candidate, artefact, score FROM (SELECT *, row_number() OVER (PARTITION BY artefact ORDER BY score DESC, candidate) AS i FROM j WHERE score IS NOT NULL) q WHERE i = 1 ORDER BY score DESC, candidate LIMIT 25")
 register("t4_best_of_round", lambda t: S.best_of_round(with_artefacts(t), "parent"),
-         f"WITH {AGG}, j AS ({JOINED}) SELECT parent, candidate AS best, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY score DESC, candidate) AS i FROM j WHERE score IS NOT NULL) q WHERE i = 1")
+         f"WITH {AGG}, j AS ({JOINED}) SELECT parent, candidate AS best, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY score DESC, candidate) AS i FROM j WHERE score IS NOT NULL) q WHERE i = 1")
 register("t5_weakest_feedback", lambda t: S.weakest_feedback(t.metrics),
          """SELECT candidate, rank, metric, status FROM (SELECT *, CAST(row_number() OVER (PARTITION BY candidate ORDER BY CASE WHEN status = 'error' THEN 0 ELSE 1 END, coalesce(score, 0.0), metric) AS INT) AS rank
   FROM @metrics WHERE status = 'error' OR (status = 'measured' AND score <= 0.5)) q WHERE rank <= 8""")
