@@ -70,32 +70,38 @@ class ToxicityModel:
         return score
 
 
-def fit_noisy_or(docs: list[list[list[int]]], labels: np.ndarray, steps: int = 150, rate: float = 0.15, bias: float = -5.0, penalty: float = 2e-3, least_surprise: float = 10.0) -> ToxicityModel:
-    """``docs``: for each document the slots of each of its sentences."""
-    flat = np.array([s for d in docs for sent in d for s in sent], np.int64)
-    sizes = np.array([len(sent) for d in docs for sent in d], np.int64)
-    sentence = np.repeat(np.arange(len(sizes)), sizes)
-    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+def fit_noisy_or(flats: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, steps: int = 150, rate: float = 0.15, bias: float = -5.0, penalty: float = 2e-3, least_surprise: float = 10.0) -> ToxicityModel:
+    """``flats``: for each document the slots of its sentences one after another; ``sizes``: how many each sentence has."""
     # what makes a document toxic stands in toxic ones far more often than chance would have it
-    pairs = np.unique(flat * len(docs) + doc[sentence])
-    used, at = np.unique(pairs // len(docs), return_inverse=True)
+    ones, all_ = np.zeros(SLOTS), np.zeros(SLOTS)
+    for flat, label in zip(flats, labels):
+        own = np.unique(flat)
+        all_[own] += 1
+        ones[own] += label
     share = labels.mean()
-    ones = np.bincount(at, labels[pairs % len(docs)], len(used))
-    all_ = np.bincount(at, minlength=len(used))
     rate1 = ones / np.maximum(all_, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         surprise = 2 * (np.nan_to_num(ones * np.log(rate1 / share)) + np.nan_to_num((all_ - ones) * np.log((1 - rate1) / (1 - share))))
-    used = used[(rate1 > share) & (surprise >= least_surprise)]
-    place = np.searchsorted(used, flat)
-    keep = (place < len(used)) & (used[np.minimum(place, len(used) - 1)] == flat) if len(used) else np.zeros(len(flat), bool)
-    place, sentence = place[keep], sentence[keep]
+    used = np.flatnonzero((rate1 > share) & (surprise >= least_surprise))
+    index = np.full(SLOTS, -1, np.int32)
+    index[used] = np.arange(len(used))
+    doc = np.repeat(np.arange(len(flats)), [len(x) for x in sizes])
+    places, sentences_, before = [np.empty(0, np.int32)], [np.empty(0, np.int64)], 0
+    for flat, own in zip(flats, sizes):
+        at = index[flat]
+        keep = at >= 0
+        places.append(at[keep])
+        sentences_.append(before + np.repeat(np.arange(len(own)), own)[keep])
+        before += len(own)
+    place, sentence = np.concatenate(places), np.concatenate(sentences_)
+    n = before
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     w[-1] = bias
     balance = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
     for step in range(1, steps + 1):
-        z = np.clip(w[-1] + np.bincount(sentence, w[place], len(sizes)), -30, 30)
+        z = np.clip(w[-1] + np.bincount(sentence, w[place], n), -30, 30)
         p = 1 / (1 + np.exp(-z))
-        clean = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(docs)))
+        clean = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(flats)))
         factor = np.where(labels == 1, -clean / np.maximum(1 - clean, 1e-6), 1.0) * balance
         g = factor[doc] * p
         grad = np.append(np.bincount(place, g[sentence], len(used)), g.sum())
@@ -119,16 +125,21 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def make():
         def apply(rows):
-            return [[[sorted({s for w in set(WORD.findall((t or "")[a:b].lower())) for s in slots(w)}) for a, b in sentences(t)] for t in rows]]
+            flats, sizes = [], []
+            for t in rows:
+                own = [sorted({s for w in set(WORD.findall((t or "")[a:b].lower())) for s in slots(w)}) for a, b in sentences(t)]
+                flats.append(np.array([s for x in own for s in x], "<i4").tobytes())
+                sizes.append(np.array([len(x) for x in own], "<i4").tobytes())
+            return [flats, sizes]
 
         return apply
 
-    fields = T.StructType([T.StructField("slots", T.ArrayType(T.ArrayType(T.IntegerType())))])
-    rows = append_columns(texts, "text", fields, make).select("y", "slots").collect()
+    fields = T.StructType([T.StructField("flat", T.BinaryType()), T.StructField("sizes", T.BinaryType())])
+    rows = append_columns(texts, "text", fields, make).select("y", "flat", "sizes").collect()
     y = np.array([r.y for r in rows])
     if len(set(y.tolist())) < 2:
         return None
-    return fit_noisy_or([r.slots for r in rows], y)
+    return fit_noisy_or([np.frombuffer(r.flat, "<i4") for r in rows], [np.frombuffer(r.sizes, "<i4") for r in rows], y)
 
 
 SCORED = T.StructType(

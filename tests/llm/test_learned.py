@@ -36,7 +36,8 @@ def test_no_labels_and_odd_texts(spark):
 
 def test_offending_sentence():
     docs = [[[1], [2], [k + 10]] for k in range(20)] + [[[1], [k + 10]] for k in range(20)]
-    model = toxicity.fit_noisy_or(docs, quality.np.array([1] * 20 + [0] * 20))
+    array = quality.np.array
+    model = toxicity.fit_noisy_or([array([s for x in d for s in x]) for d in docs], [array([len(x) for x in d]) for d in docs], array([1] * 20 + [0] * 20))
     assert max(model.by_slot, key=model.by_slot.get) == 2
     word = toxicity.ToxicityModel({toxicity.slots("bad")[0]: 9.0}, -5.0)
     score, found = word.scorer()("All fine. Quite BAD here! Ok")
