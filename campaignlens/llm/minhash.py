@@ -7,13 +7,14 @@ a band are candidates. First each class is paired with the smallest class of its
 which joins nearly all of a large group with as many pairs as it has members; then only
 members of one bucket that are still in different components are paired. The number of
 set bits in the XOR of two odd sketches estimates the similarity, and what it lets pass
-(a wide margin below the threshold) is confirmed on the full shingle sets. Links become
+(a margin below the threshold, smaller for the wide sketches of the last step) is confirmed on the full shingle sets. Links become
 components by alternating star contractions.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from campaignlens.llm.common import append_columns, materialize, small_batches
+from campaignlens.llm.common import append_columns, discard, materialize, small_batches
 
 BANDS, ROWS, SKETCH_BITS = 28, 4, 512
 SAMPLES = BANDS * ROWS
 #: Candidates whose sketches differ in more bits than similarity 0.2 below the threshold lets expect go no further;
 #: at the threshold itself the chance of that is under one in a million.
 MARGIN = 0.2
+#: Where many candidates are left, wider sketches tell them apart: more samples, and so a smaller margin of the same certainty.
+WIDE_SAMPLES, WIDE_BITS, WIDE_MARGIN = 1024, 4096, 0.07
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = np.random.default_rng(20_240_229)
 BYTE = SEED.integers(0, 2**64, 256, np.uint64)
@@ -37,6 +40,8 @@ SCALE = SEED.integers(0, 2**63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1
 SHIFT = SEED.integers(0, 2**64, SAMPLES, np.uint64)
 BAND_SCALE = SEED.integers(0, 2**63, (BANDS, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 BAND_SHIFT = SEED.integers(0, 2**64, BANDS, np.uint64)
+WIDE_SCALE = SEED.integers(0, 2**63, WIDE_SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
+WIDE_SHIFT = SEED.integers(0, 2**64, WIDE_SAMPLES, np.uint64)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
 
 
@@ -74,17 +79,18 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(runs)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    low = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), 2048):
-        np.minimum(low, (shingles[i : i + 2048, None] * SCALE + SHIFT).min(axis=0), out=low)
+def signature(shingles: np.ndarray, scale: np.ndarray = SCALE, shift: np.ndarray = SHIFT) -> np.ndarray:
+    low = np.full(len(scale), np.iinfo(np.uint64).max, np.uint64)
+    step = 1 << 18
+    for i in range(0, len(shingles), max(1, step // len(scale))):
+        np.minimum(low, (shingles[i : i + max(1, step // len(scale)), None] * scale + shift).min(axis=0), out=low)
     return low
 
 
-def sketches(low: np.ndarray) -> np.ndarray:
+def sketches(low: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """Odd sketches of rows of samples: each sample flips one bit."""
-    bit = (mixed(low ^ np.arange(SAMPLES, dtype=np.uint64) * BASE) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    flips = np.bincount((bit + np.arange(len(low))[:, None] * SKETCH_BITS).ravel(), minlength=len(low) * SKETCH_BITS)
+    bit = (mixed(low ^ np.arange(low.shape[1], dtype=np.uint64) * BASE) % np.uint64(bits)).astype(np.int64)
+    flips = np.bincount((bit + np.arange(len(low))[:, None] * bits).ravel(), minlength=len(low) * bits)
     return np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(len(low), -1)
 
 
@@ -134,13 +140,22 @@ def differing_bits(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def bits_at(similarity: float) -> int:
+def bits_at(similarity: float, samples: int = SAMPLES, bits: int = SKETCH_BITS) -> int:
     """Bits in which sketches of that similarity are expected to differ."""
-    return int(SKETCH_BITS / 2 * (1 - np.exp(4 * SAMPLES * (similarity - 1) / SKETCH_BITS)))
+    return int(bits / 2 * (1 - np.exp(4 * samples * (similarity - 1) / bits)))
 
 
-def estimated_similarity(bits: Column) -> Column:
-    return 1 + F.lit(SKETCH_BITS / (4 * SAMPLES)) * F.log(F.greatest(1 - 2 * bits / SKETCH_BITS, F.lit(1e-9)))
+def widely_sketched(df: DataFrame, text_col: str, size: int) -> DataFrame:
+    """Append ``wide``: an odd sketch of many more samples."""
+
+    def make():
+        def apply(texts):
+            low = [signature(shingle_set(t, size), WIDE_SCALE, WIDE_SHIFT) for t in texts]
+            return [_lists(sketches(np.array(low).reshape(len(texts), WIDE_SAMPLES), WIDE_BITS))]
+
+        return apply
+
+    return append_columns(df, text_col, T.StructType([T.StructField("wide", T.ArrayType(T.LongType()))]), make)
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -156,15 +171,26 @@ def connected(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lowest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = materialize(small.where("a <> b").distinct(), "links")
+        older, edges = edges, materialize(small.where("a <> b").distinct(), "links")
+        discard(older)
         new = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
         if tuple(new) == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = tuple(new)
 
 
+def still_apart(shared: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
+    """(key, rep, root, main) of the buckets that hold several components, and how many pairs these leave; ``main`` is a bucket's largest component."""
+    placed = shared.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    keys = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where(F.col("all") > F.col("most"))
+    keys = materialize(keys, "mixed")
+    total = keys.agg(F.coalesce(F.sum(F.col("all") * (F.col("all") - F.col("most"))), F.lit(0))).first()[0]
+    return materialize(placed.join(keys, "key").select("key", "rep", "root", "main"), "open"), total
+
+
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, pass_pairs: int = 20_000_000, broadcast_ids: int = 1_000_000
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, pass_pairs: int = 20_000_000, broadcast_ids: int = 1_000_000, broadcast_bytes: int = 32 << 20
 ) -> DataFrame:
     """One row per row of ``df``: id, ``n_shingles``, ``component_id`` (the smallest id reachable over links) and ``kept``.
 
@@ -187,43 +213,73 @@ def near_duplicates(
     shared = materialize(places.join(buckets, "key"), "shared")
     info = classes.select("rep", "sketch", "n")
 
+    def of_ids(ids: DataFrame) -> DataFrame:
+        """The documents of some ids, one row each; few ids are sent to all tasks."""
+        small = ids.count() <= broadcast_ids
+        return docs.join(F.broadcast(ids) if small else ids, "id", "left_semi")
+
+    def like_sizes(a: Column, b: Column) -> Column:
+        """Sets whose sizes differ too much can't be that similar."""
+        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of candidate pairs (a, b) those that are linked."""
         for side in "ab":
             pairs = pairs.join(info.select(F.col("rep").alias(side), F.col("sketch").alias(f"s{side}"), F.col("n").alias(f"n{side}")), side)
-        likely = pairs.where(differing_bits(F.col("sa"), F.col("sb")) <= bits_at(percent / 100 - MARGIN))
-        # sets whose sizes differ too much can't be that similar
-        likely = likely.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        likely = materialize(likely.select("a", "b", "na", "nb"), "likely")
-        ids = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        ids = materialize(ids, "ids")
-        if ids.count() <= broadcast_ids:
-            ids = F.broadcast(ids)
-        sets = materialize(shingled(docs.join(ids, "id", "left_semi"), "text", size).dropDuplicates(["id"]), "sets")
-        full = likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
+        likely = pairs.where(like_sizes(F.col("na"), F.col("nb")) & (differing_bits(F.col("sa"), F.col("sb")) <= bits_at(percent / 100 - MARGIN)))
+        return compared(likely.select("a", "b", "na", "nb"))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b, na, nb) those whose full sets are similar. Few sets are sent to all tasks, many are joined."""
+        likely = materialize(pairs, "likely")
+        ids = materialize(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        sets = materialize(shingled(of_ids(ids), "text", size).dropDuplicates(["id"]), "sets")
+        total = sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+        given = F.broadcast(sets) if 8 * total <= broadcast_bytes else sets
+        full = likely.join(given.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a").join(given.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b")
         common = F.size(F.array_intersect("xa", "xb"))
-        return full.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
+        links = materialize(full.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b"), "confirmed")
+        discard(likely, ids, sets)
+        return links
 
+    # rounds with as many pairs as a bucket has members: the smallest class of all buckets, of each bucket, and one of its main component
     first = shared.where("rep <> hub").groupBy("rep").agg(F.min("hub").alias("hub"))
-    links = materialize(confirmed(first.select(F.col("hub").alias("a"), F.col("rep").alias("b"))), "confirmed")
+    tried = first.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    links = confirmed(tried)
     roots = connected(links)
-
-    # what of a bucket lies in different components after that: all of the smaller components against the rest
-    placed = shared.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
-    mixed_keys = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where(F.col("all") > F.col("most"))
-    mixed_keys = materialize(mixed_keys, "mixed")
-    open_places = materialize(placed.join(mixed_keys, "key").select("key", "rep", "root", "main"), "open")
-    total = mixed_keys.agg(F.coalesce(F.sum(F.col("all") * (F.col("all") - F.col("most"))), F.lit(0))).first()[0]
+    for hub in (F.min("rep"), F.max_by("rep", F.xxhash64("key", "rep"))):
+        open_places, _ = still_apart(shared, roots)
+        hubs = open_places.where("root = main").groupBy("key").agg(hub.alias("hub"))
+        pairs = open_places.where("root <> main").join(hubs, "key").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = tried.union(pairs)
+        found = confirmed(pairs)
+        roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+        discard(open_places)
+    # whatever of a bucket lies in different components after that: the smaller components against the rest, each pair in the first
+    # bucket that it shares, and only if the wide sketches are alike
+    open_places, total = still_apart(shared, roots)
     if total:
+        wide = materialize(widely_sketched(of_ids(open_places.select(F.col("rep").alias("id")).distinct()), "text", size).dropDuplicates(["id"]).select(F.col("id").alias("rep"), "wide"), "wide")
+        known = classes.select("rep", "n", "bands", "sketch").join(wide, "rep")
+        places = materialize(open_places.join(known, "rep"), "places")
+        minor = places.where("root <> main").select("key", *[F.col(c).alias("x" + c) for c in ("rep", "root", "n", "bands", "sketch", "wide")])
         passes = -(-total // pass_pairs)
-        minor = open_places.where("root <> main").select("key", F.col("rep").alias("x"), F.col("root").alias("rx"))
+        alike = (
+            (F.col("root") != F.col("xroot"))
+            & ((F.col("root") == F.col("main")) | (F.col("rep") < F.col("xrep")))
+            & like_sizes(F.col("n"), F.col("xn"))
+            & (differing_bits(F.col("sketch"), F.col("xsketch")) <= bits_at(percent / 100 - MARGIN))
+            & (differing_bits(F.col("wide"), F.col("xwide")) <= bits_at(percent / 100 - WIDE_MARGIN, WIDE_SAMPLES, WIDE_BITS))
+            & (F.element_at(F.filter("bands", lambda k: F.array_contains("xbands", k)), 1) == F.col("key"))
+        )
+        found = []
         for i in range(passes):
-            part = minor if passes == 1 else minor.where(F.pmod(F.xxhash64("x"), F.lit(passes)) == i)
-            pairs = open_places.join(part, "key").where("root <> rx").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
-            tried = first.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-            links = links.union(materialize(confirmed(pairs.join(tried, ["a", "b"], "left_anti")), "confirmed"))
-        roots = connected(links)
+            part = minor if passes == 1 else minor.where(F.pmod(F.xxhash64("xrep"), F.lit(passes)) == i)
+            pairs = places.join(part.withColumnRenamed("key", "xkey"), (F.col("key") == F.col("xkey")) & alike)
+            found.append(compared(pairs.select(F.col("rep").alias("a"), F.col("xrep").alias("b"), F.col("n").alias("na"), F.col("xn").alias("nb"))))
+        discard(open_places, wide, places)
+        roots = connected(reduce(DataFrame.union, found, roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
     of_class = classes.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
     joined = rows.select("id", "n_shingles", "digest").join(of_class, "digest", "left")
