@@ -69,12 +69,50 @@ def components(pairs: DataFrame) -> DataFrame:
         state = new
 
 
-def topological_layers(pairs: DataFrame) -> DataFrame:
-    """(node, layer): peels the nodes without open predecessors, one layer a round; when a cycle leaves none, the smallest node goes."""
-    edges = written(pairs.where("src <> dst").distinct())
+def peeled(frames, first: int):
+    """Layers of one task's graph: rows (src, dst, is_node), an open node as (node, node, true)."""
+    import heapq
+    from collections import defaultdict
+
+    import pandas as pd
+
+    after, before, nodes = defaultdict(list), defaultdict(int), set()
+    for frame in frames:
+        for src, dst, is_node in zip(frame["src"].tolist(), frame["dst"].tolist(), frame["is_node"].tolist()):
+            if is_node:
+                nodes.add(src)
+            else:
+                after[src].append(dst)
+                before[dst] += 1
+    heap, layer, out = sorted(nodes), first, []
+    ready = [n for n in heap if not before[n]]
+    while nodes:
+        if not ready:
+            while heap[0] not in nodes:
+                heapq.heappop(heap)
+            ready = [heap[0]]
+        out += [(n, layer) for n in ready]
+        nodes.difference_update(ready)
+        freed = []
+        for n in ready:
+            for m in after[n]:
+                before[m] -= 1
+                if not before[m] and m in nodes:
+                    freed.append(m)
+        ready = freed
+        layer += 1
+    yield pd.DataFrame(out, columns=["node", "layer"])
+
+
+def topological_layers(pairs: DataFrame, local: int = 1_000_000) -> DataFrame:
+    """(node, layer): peels the nodes without open predecessors, one layer a round; when a cycle leaves none, the smallest node goes.
+
+    The rounds follow each other, and cycles make as many as nodes. Once no more than ``local`` edges and open nodes are left, one task peels the rest.
+    """
+    edges = written(pairs.select("src", "dst").where("src <> dst").distinct())
     nodes = written(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
     out, layer = None, 0
-    while not nodes.isEmpty():
+    while edges.count() + nodes.count() > local:
         ready = nodes.join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
         if ready.isEmpty():
             ready = nodes.agg(F.min("node").alias("node"))
@@ -85,7 +123,9 @@ def topological_layers(pairs: DataFrame) -> DataFrame:
         layer += 1
         if layer % 10 == 0:
             out = written(out)
-    return out if out is not None else edges.select(F.col("src").alias("node"), F.lit(0).alias("layer"))
+    rest = edges.withColumn("is_node", F.lit(False)).union(nodes.select("node", "node", F.lit(True)))
+    rest = rest.coalesce(1).mapInPandas(lambda frames, first=layer: peeled(frames, first), f"node {edges.schema['src'].dataType.simpleString()}, layer int")
+    return rest if out is None else out.union(rest)
 
 
 def breadth_first_order(reached: DataFrame) -> DataFrame:

@@ -35,9 +35,9 @@ def documents(t):
     return found.join(twice, "id", "left_anti").select("id", "name")
 
 
-def exports(t):
+def exports(t, which="run % 20 = 0"):
     path = folder(t, "coverage")
-    by_file = t.coverage.groupBy("run", "file", "kind").agg(F.sum("total").alias("count"), F.sum("covered").alias("covered")).where("run % 20 = 0")
+    by_file = t.coverage.groupBy("run", "file", "kind").agg(F.sum("total").alias("count"), F.sum("covered").alias("covered")).where(which)
     summary = by_file.groupBy("run", "file").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct("count", "covered")))).alias("summary"))
     files = summary.groupBy("run").agg(F.collect_list(F.struct(F.col("file").cast("string").alias("filename"), "summary")).alias("files"))
     files.select(F.array(F.struct("files")).alias("data")).write.json(path)

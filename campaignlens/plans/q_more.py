@@ -40,9 +40,9 @@ def retain_release(t):
     return later.join(ends, ["caller", "binding"]).where("released > taken AND (next_redef IS NULL OR released < next_redef)").select("caller", "binding", "taken", "released")
 
 
-def manifest_check(t):
+def manifest_check(t, which="caller % 200 = 0"):
     """Selected ids that the catalogue lacks or that occur twice."""
-    chosen = t.calls.where("caller % 200 = 0").select(F.col("callee").alias("item"))
+    chosen = t.calls.where(which).select(F.col("callee").alias("item"))
     twice = chosen.groupBy("item").count().where("count > 1").select("item", F.lit("duplicate").alias("problem"))
     unknown = chosen.join(t.functions.where("defined").select(F.col("function_id").alias("item")), "item", "left_anti").distinct().select("item", F.lit("unknown").alias("problem"))
     return twice.unionByName(unknown)
@@ -55,9 +55,9 @@ def family_contracts(t):
     return pairs.groupBy("function_id").agg(F.count("*").alias("n"), F.min("family").alias("family")).where("n = 1").select("function_id", "family")
 
 
-def lifecycle_closure(t):
+def lifecycle_closure(t, which="caller % 50 = 0"):
     """Edges of producers to cleanups that the graph lacks."""
-    pairs = L.pair_lifecycles(t.calls.where("caller % 50 = 0")).select(F.col("producer").alias("src"), F.col("cleanup").alias("dst")).where("src <> dst").distinct()
+    pairs = L.pair_lifecycles(t.calls.where(which)).select(F.col("producer").alias("src"), F.col("cleanup").alias("dst")).where("src <> dst").distinct()
     return pairs.join(t.edges.select("src", "dst"), ["src", "dst"], "left_anti")
 
 

@@ -49,6 +49,9 @@ RELATIONS = {
     "html_pages": "SELECT page_id AS id, html AS text FROM {pages} WHERE html IS NOT NULL",
     "usage": "SELECT conv_id AS candidate, turn AS attempt, role, length(text) AS tokens FROM {conversations}",
 }
+#: The same without their choice of orders.
+RELATIONS["all_edges"] = RELATIONS["edges"].replace(" WHERE l_orderkey % 50 = 0", "")
+RELATIONS["all_anchors"] = RELATIONS["anchors"].replace(" WHERE l_orderkey % 500 = 0", "")
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
