@@ -33,4 +33,6 @@ def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: lis
         frontier = written(step(frontier).dropDuplicates(keys).join(seen, keys, "left_anti"))
         seen = seen.unionByName(frontier)
         n += 1
+        if n % 8 == 0:  # else each round reads the files of all before
+            seen = written(seen)
     return written(seen) if n > 8 else seen

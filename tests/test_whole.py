@@ -68,3 +68,26 @@ def test_layers_hold_all_nodes_and_equal_round_by_round(spark, sf_dir):
     assert got.count() == nodes.count() and rows(got.select("node")) == rows(nodes)
     few = spark.createDataFrame([(a, b) for a in range(9) for b in range(9) if (a * 5 + b * 3) % 7 == 1], "src long, dst long")
     assert rows(graph.topological_layers(few)) == rows(graph.topological_layers(few, 0)) == rows(graph.topological_layers(few, 20))
+
+
+def chain(spark, folder, n):
+    """One order whose lines call the parts 1 to n in turn, and a cycle n + 1, n + 2."""
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_discount double"
+    lines = [(500, i, i, 1, 1.0, 0.0) for i in range(1, n + 1)] + [(50, i, n + 1 + i % 2, 1, 1.0, 0.0) for i in range(3)]
+    spark.createDataFrame(lines, schema).coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(n + 9, 50)], "p_partkey long, p_size int").write.parquet(f"{folder}/part.parquet")
+    return str(folder)
+
+
+def test_no_depth_is_too_deep(spark, tmp_path):
+    folder = chain(spark, tmp_path, 34)
+    depths = {r.node: r.depth for r in run(spark, folder, "g8_call_depth").where("anchor = 1").collect()}
+    assert depths == {i: i - 1 for i in range(2, 35)}
+    got = run(spark, folder, "g6_triplet_extraction").where("anchor = 1").first()
+    assert (got.nodes, got.depth, got.excluded) == (33, 33, "oversize")
+
+
+def test_long_chains_are_no_cycles(spark, tmp_path):
+    n = 2500
+    got = {r.node: (r.end, r.hops) for r in run(spark, chain(spark, tmp_path, n), "g11_typedef_chains").collect()}
+    assert got == {i: (n, n - i) for i in range(1, n)} | {n + 1: (None, None), n + 2: (None, None)}
