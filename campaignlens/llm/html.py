@@ -3,9 +3,11 @@
 The standard library's streaming parser splits a page into lines (blocks of text). Each
 line has a text-to-tag ratio, in which link text counts as tags; ratios are smoothed with a
 Gaussian, and two-means clustering of the smoothed ratios gives a threshold. The content
-region is the innermost element that holds nearly all text of the lines above it. All
-lines in the region count, also short ones, unless they stand in a part that its tag, role
-or class marks as something else.
+region is the innermost element that holds nearly all text of the lines above it, and from
+there the article or main element around it, or else the outermost elements that add no
+more links than text. All lines in the region count, also short and linked ones, unless they
+stand in a part that its tag, role or class marks as something else, or outside an article in
+a list of links before or after the content.
 """
 
 from __future__ import annotations
@@ -44,6 +46,7 @@ class Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, bool, tuple]] = []
         self.open: list[tuple[str, int, bool]] = []  # regions: tag, number, marked
         self.path: tuple = ()
+        self.kinds: dict[int, str] = {}
         self.parts: list[str] = []
         self.tags = self.linked = self.links = self.count = 0
 
@@ -65,6 +68,7 @@ class Lines(HTMLParser):
             other = bool(self.open) and self.open[-1][2] or tag in OTHERS or (bool(attrs) and tag not in ("html", "body", "main", "article") and self.marked(attrs))
             self.count += 1
             self.open.append((tag, self.count, other))
+            self.kinds[self.count] = tag
             self.path = (*self.path, self.count)
 
     @staticmethod
@@ -151,8 +155,40 @@ def main_text(html: str | None, share: float = 0.9) -> str:
     total = sum(len(line[0]) - line[2] for line, is_content in zip(lines, content) if is_content)
     # regions are numbered as they open, so of nested ones the innermost has the largest number
     region = max((r for r, m in mass.items() if m >= share * total), default=0)
-    kept = [t for t, _, linked, _, path in lines if (not region or region in path) and linked < 0.8 * len(t) + 1]
-    return " ".join(kept)
+    if region:
+        region = climbed(region, next(path for _, _, _, _, path in lines if region in path), lines, parser.kinds)
+    inside = [(line, is_content) for line, is_content in zip(lines, content) if not region or region in line[4]]
+    places = [i for i, (_, is_content) in enumerate(inside) if is_content] or [0, len(inside) - 1]  # rounding can leave no line above
+    # an article's own lists, and those between its lines, are text
+    article = any(parser.kinds[r] == "article" for r in inside[0][0][4] if r <= region)
+    listed = set() if article else link_lists([line for line, _ in inside], parser.kinds, places[0], places[-1])
+    return " ".join(line[0] for line, _ in inside if listed.isdisjoint(line[4]))
+
+
+def climbed(region: int, path: tuple, lines: list, kinds: dict[int, str]) -> int:
+    """The article around a region, else the main element, else the widest element around it that plain text alone adds to."""
+    around = path[: path.index(region) + 1]
+    for tag in ("article", "main"):
+        found = [r for r in around if kinds[r] == tag]
+        if found:
+            return found[0]
+    for wider in reversed(around[:-1]):
+        more = [(text, linked) for text, _, linked, _, p in lines if wider in p and region not in p]
+        # links beside the content mean that the wider element is the page's frame
+        if kinds[wider] == "html" or sum(linked for _, linked in more) * 2 > sum(len(text) for text, _ in more):
+            break
+        region = wider
+    return region
+
+
+def link_lists(lines: list, kinds: dict[int, str], first: int, last: int) -> set[int]:
+    """Lists of two lines or more that are all links and end before the first content line or begin after the last one."""
+    found: dict[int, list[tuple[int, bool]]] = {}
+    for i, (text, _, linked, _, path) in enumerate(lines):
+        for r in path:
+            if kinds[r] in ("ul", "ol", "dl"):
+                found.setdefault(r, []).append((i, linked >= 0.8 * len(text)))
+    return {r for r, rows in found.items() if len(rows) > 1 and all(x for _, x in rows) and (rows[-1][0] < first or rows[0][0] > last)}
 
 
 def extract_main_text(df: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:

@@ -47,3 +47,15 @@ def test_html_query(spark, sf_dir):
         article = pages[r.page_id].html.split("<article>")[1].split("</article>")[0]
         plain = html.re.sub("<[^>]*>", "", html.re.sub("</?p>|</h1>|<br>", " ", article))
         assert r.text == " ".join(__import__("html").unescape(plain).split()) and r.n_chars == len(r.text)
+
+
+def test_main_text_drops_nothing_of_the_article():
+    long = "word " * 400
+    assert html.main_text(f"<body><nav><a href=/>Home</a></nav><article><p>lead</p><blockquote>{long}</blockquote><p>end</p></article></body>") == f"lead {long}end"
+    for tag in ("section", "div", "ul", "table"):
+        row = {"ul": "<li>{}</li>", "table": "<tr><td>{}</td></tr>"}.get(tag, "{}").format(long)
+        assert html.main_text(f"<body><div><p>short one</p><{tag}>{row}</{tag}><p>short two</p></div></body>") == f"short one {long}short two", tag
+    assert html.main_text(f"<article><h1><a href=/x>Linked title</a></h1><p>{long}</p><p><a href=/y>One whole link</a></p><ul><li>plain</li><li><a href=/z>linked item</a></li></ul></article>") == f"Linked title {long}One whole link plain linked item"
+    assert html.main_text(f"<body><div><ul><li><a href=/>Home</a></li><li><a href=/b>About</a></li></ul></div><div><p>{long}</p></div></body>") == long.strip()
+    assert html.main_text(f"<article><p>{long}</p><ul><li><a href=/a>Source one</a></li><li><a href=/b>Source two</a></li></ul></article>") == f"{long}Source one Source two"
+    assert html.main_text(f"<main><p>{long}</p><ol><li><a href=/a>Source one</a></li><li><a href=/b>Two</a></li></ol><p>{long}</p></main>") == f"{long}Source one Two {long}".strip()
