@@ -128,3 +128,38 @@ def greedy_cover(items: DataFrame, members: DataFrame, most: int, budget: int) -
         left -= got[0]["calls"]
         covered = members.where(F.col("item").isin([c[1] for c in chosen])).select("member").distinct()
     return items.sparkSession.createDataFrame(chosen, f"position int, item {items.schema['item'].dataType.simpleString()}, benefit double")
+
+
+def greedy_triplets(items: DataFrame, functions: DataFrame, structures: DataFrame, most: int, budget: int, min_score: float = 0.0) -> DataFrame:
+    """Greedy diverse selection of ``items`` (item, anchor, score, calls) by score times novelty: half for a new anchor, .35 for the share of
+    new ``functions`` and .15 for that of new ``structures`` (both item, member; without structures the functions' share counts).
+
+    At most ``most`` rounds, each one distributed top-1 over the items that fit in what is left of ``budget``. Items without functions are
+    left out. Ties go to the higher score, then fewer calls, then the smaller item.
+    """
+    functions, structures = functions.distinct().persist(), structures.distinct().persist()
+    sizes = [m.groupBy("item").agg(F.count("*").alias(n)) for m, n in ((functions, "functions"), (structures, "structures"))]
+    items = items.where(F.col("score") >= min_score).join(sizes[0], "item").join(sizes[1], "item", "left").persist()
+    chosen: list = []
+    ids: list = []
+    anchors: list = []
+    left = budget
+
+    def fresh(members, name):
+        covered = members.where(F.col("item").isin(ids)).select("member").distinct()
+        return members.join(covered, "member", "left_anti").groupBy("item").agg(F.count("*").alias(name))
+
+    for position in range(1, most + 1):
+        rows = items.where((F.col("calls") <= left) & ~F.col("item").isin(ids)).join(fresh(functions, "f"), "item", "left").join(fresh(structures, "s"), "item", "left")
+        share = F.coalesce("f", F.lit(0)) / F.col("functions")
+        of_structures = F.when(F.col("structures") > 0, F.coalesce("s", F.lit(0)) / F.col("structures")).otherwise(share)
+        novelty = F.round(F.when(F.col("anchor").isin(anchors), 0.0).otherwise(0.5) + 0.35 * share + 0.15 * of_structures, 6)
+        rows = rows.select("item", "anchor", "score", "calls", (F.col("score") * (F.lit(0.7) + 0.3 * novelty)).alias("benefit"))
+        got = rows.orderBy(F.desc("benefit"), F.desc("score"), "calls", "item").limit(1).collect()
+        if not got:
+            break
+        ids.append(got[0]["item"])
+        anchors.append(got[0]["anchor"])
+        chosen.append((position, got[0]["item"], round(float(got[0]["benefit"]), 6)))
+        left -= got[0]["calls"]
+    return items.sparkSession.createDataFrame(chosen, f"position int, item {items.schema['item'].dataType.simpleString()}, benefit double")

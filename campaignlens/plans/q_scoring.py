@@ -21,6 +21,17 @@ def with_artefacts(t):
     return aggregate(t).join(t.candidates.select("candidate", "artefact", "parent"), "candidate")
 
 
+def greedy_selection(t):
+    """Eligible candidates by what is new in the calls of the caller of their id: its first callee is the anchor, its callees are the
+    functions, and the structure types of their parameters are the structures."""
+    calls = t.calls.select(F.col("caller").alias("item"), "ordinal", "callee")
+    items = aggregate(t).where("status = 'eligible'").select(F.col("candidate").alias("item"), "score", F.col("n_measured").alias("calls"))
+    functions = calls.join(items.select("item"), "item", "left_semi").select("item", F.col("callee").alias("member")).distinct()
+    types = t.params.where("is_struct").select(F.col("function_id").alias("member"), "base_type").distinct()
+    structures = functions.join(types, "member").select("item", F.col("base_type").alias("member"))
+    return S.greedy_triplets(items.join(calls.where("ordinal = 0").select("item", F.col("callee").alias("anchor")), "item"), functions, structures, 8, 30)
+
+
 AGG = f"agg AS ({A39})"
 JOINED = "SELECT a.*, c.artefact, c.parent FROM agg a JOIN @candidates c ON c.candidate = a.candidate"
 register("a39_weighted_aggregate", aggregate, A39)
@@ -58,4 +69,4 @@ register("p17_exclusions", lambda t: aggregate(t).select("candidate", F.array_jo
          f"WITH {AGG} SELECT candidate, array_to_string(list_filter([CASE WHEN n_errors > 0 THEN 'errors' END, CASE WHEN n_measured < 3 THEN 'few_metrics' END, CASE WHEN coalesce(score, 0) < 0.2 THEN 'low_score' END], lambda x: x IS NOT NULL), ',') AS reasons FROM agg")
 register("x1_metric_registry", lambda t: __import__("functools").reduce(lambda a, b: a.unionByName(b), [t.metrics.where(F.col("metric") == m).groupBy("metric").agg(F.count_if(F.col("status") == "measured").alias("measured"), F.round(F.avg("score"), 6).alias("mean")) for m in ("view", "click", "error", "purchase", "signup")]),
          "SELECT metric, count(*) FILTER (status = 'measured') AS measured, round(avg(score), 6) AS mean FROM @metrics GROUP BY metric")
-register("t2_greedy_selection", lambda t: S.greedy_cover(aggregate(t).where("status = 'eligible'").select(F.col("candidate").alias("item"), "score", F.col("n_measured").alias("calls")), t.calls.select((F.col("caller") % 50).alias("item"), (F.col("callee") % 300).alias("member")), 8, 30))
+register("t2_greedy_selection", greedy_selection)

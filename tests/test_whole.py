@@ -91,3 +91,54 @@ def test_long_chains_are_no_cycles(spark, tmp_path):
     n = 2500
     got = {r.node: (r.end, r.hops) for r in run(spark, chain(spark, tmp_path, n), "g11_typedef_chains").collect()}
     assert got == {i: (n, n - i) for i in range(1, n)} | {n + 1: (None, None), n + 2: (None, None)}
+
+
+def picks(items, functions, structures, most, budget, least=0.0):
+    """The reference's loop: items {item: (anchor, score, calls)}."""
+    out, anchors, seen_f, seen_s = [], set(), set(), set()
+    rest = {i for i, r in items.items() if r[1] >= least and functions.get(i)}
+    while rest and len(out) < most:
+        options = []
+        for i in rest:
+            anchor, score, calls = items[i]
+            if calls > budget:
+                continue
+            f, s = functions[i], structures.get(i, set())
+            new = len(f - seen_f) / len(f)
+            novelty = round(0.5 * (anchor not in anchors) + 0.35 * new + 0.15 * (len(s - seen_s) / len(s) if s else new), 6)
+            options.append((-score * (0.7 + 0.3 * novelty), -score, calls, i))
+        if not options:
+            break
+        benefit, _, calls, i = min(options)
+        out.append((len(out) + 1, i, round(-benefit, 6)))
+        budget -= calls
+        anchors.add(items[i][0])
+        seen_f |= functions[i]
+        seen_s |= structures.get(i, set())
+        rest.remove(i)
+    return out
+
+
+def test_greedy_selection_by_brute_force(spark, sf_dir):
+    from campaignlens.operators.scoring import greedy_triplets
+    from campaignlens.plans import q_scoring
+    from campaignlens.plans.tables import Tables
+
+    t, types, items, functions = Tables(spark, sf_dir), {}, {}, {}
+    for r in t.params.where("is_struct").collect():
+        types.setdefault(r.function_id, set()).add(r.base_type)
+    first = {r.caller: r.callee for r in t.calls.where("ordinal = 0").collect()}
+    for r in q_scoring.aggregate(t).where("status = 'eligible'").collect():
+        if r.candidate in first:
+            items[r.candidate] = (first[r.candidate], r.score, r.n_measured)
+    for r in t.calls.collect():
+        functions.setdefault(r.caller, set()).add(r.callee)
+    structures = {i: set().union(*(types.get(f, set()) for f in functions[i])) for i in items}
+    want = picks(items, functions, structures, 8, 30)
+    got = rows(run(spark, sf_dir, "t2_greedy_selection"))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 2e-6 for g, w in zip(got, want))
+    few = {"a": (1, 0.9, 1), "b": (1, 0.89, 1), "c": (2, 0.85, 1), "d": (3, 0.1, 1)}
+    fun, struct = {"a": {1, 2}, "b": {1, 2}, "c": {2}, "d": {9}}, {"a": {"S"}, "c": {"S", "T"}}
+    frame = lambda m, kind: spark.createDataFrame([(i, x) for i, xs in m.items() for x in xs], f"item string, member {kind}")
+    got = greedy_triplets(spark.createDataFrame([(i, *r) for i, r in few.items()], "item string, anchor long, score double, calls long"), frame(fun, "long"), frame(struct, "string"), 9, 10, 0.2)
+    assert rows(got) == picks(few, fun, struct, 9, 10, 0.2) and [g[1] for g in rows(got)] == ["a", "c", "b"]
