@@ -75,12 +75,25 @@ def leaders(t):
     return ST.top_of(t.spark.read.parquet(path + "/out"), 20)
 
 
+def telemetry_windows(t):
+    return ST.drained_whole(ST.live_telemetry(line_of(stream(t))), folder(t, "st1"))
+
+
+def sessions(t):
+    return ST.drained_whole(ST.run_sessions(line_of(stream(t))), folder(t, "st1s"))
+
+
 register("s2_fact_documents", documents, "SELECT function_id AS id, name FROM @functions")
 register("s3_strict_reports", reports, "SELECT metric, count(*) AS n FROM @metrics WHERE status <> 'error' GROUP BY 1 UNION ALL SELECT 'not readable', count(*) FROM @metrics WHERE status = 'error'")
 register("s6_coverage_export", exports, "SELECT file::VARCHAR AS file, kind, sum(total)::BIGINT AS total, sum(covered)::BIGINT AS covered FROM @coverage WHERE run % 20 = 0 GROUP BY 1, 2")
 register("s7_canonical_sink", canonical, "SELECT function_id, name, file FROM @functions")
 register("s9_output_by_key", by_key, "SELECT resource_type, count(*) AS n FROM @functions GROUP BY 1")
-register("st1_live_telemetry", lambda t: ST.drained(ST.live_telemetry(line_of(stream(t))), folder(t, "st1")).groupBy("run").agg(F.max("cov").alias("cov")).where("cov IS NOT NULL").select("run", (F.col("cov") >= 0).alias("seen")), "SELECT user_id AS run, true AS seen FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
-register("st1_run_sessions", lambda t: ST.drained(ST.run_sessions(line_of(stream(t))), folder(t, "st1s")).select("run").distinct(), "SELECT DISTINCT user_id AS run FROM events")
+register("st1_live_telemetry", lambda t: telemetry_windows(t).groupBy("run").agg(F.max("cov").alias("cov")).where("cov IS NOT NULL").select("run", (F.col("cov") >= 0).alias("seen")), "SELECT user_id AS run, true AS seen FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
+register("st1_run_sessions", lambda t: sessions(t).select("run").distinct(), "SELECT DISTINCT user_id AS run FROM events")
+register("st1_telemetry_windows", lambda t: telemetry_windows(t).select(F.unix_timestamp("start").alias("start"), "run", "n", "cov"),
+         "SELECT epoch(time_bucket(INTERVAL '10 minutes', ts::TIMESTAMP))::BIGINT AS start, user_id AS run, count(*) AS n, max(CASE WHEN event_type IN ('view', 'click') THEN event_id % 641 END) AS cov FROM events GROUP BY 1, 2")
+register("st1_session_windows", lambda t: sessions(t).select(F.unix_micros("start").alias("start"), "run", "n"),
+         """WITH l AS (SELECT user_id AS run, ts::TIMESTAMP AS ts, lag(ts::TIMESTAMP) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events), s AS (SELECT run, ts, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL '30 minutes' THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM l)
+SELECT epoch_us(min(ts)) AS start, run, count(*) AS n FROM s GROUP BY run, k""")
 register("st3_first_contents", lambda t: ST.drained(ST.first_contents(stream(t).select("ts", F.concat("event_type", (F.col("user_id") % 20).cast("string")).alias("artefact"))), folder(t, "st3")).select("artefact").distinct(), "SELECT DISTINCT concat(event_type, user_id % 20) AS artefact FROM events")
 register("st4_leaderboard", leaders, "SELECT user_id AS candidate, round(avg(least(1.0, value / 500)), 6) AS score FROM events GROUP BY 1 ORDER BY score DESC, candidate LIMIT 20")

@@ -45,3 +45,19 @@ def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+
+
+def drained_whole(stream: DataFrame, path: str) -> DataFrame:
+    """Run an aggregating stream over all there is now and give all its rows, also those of windows and sessions still open.
+
+    Each batch writes the whole result to a folder of its own, so that a repeated batch writes the same; the last one counts.
+    """
+    write = lambda df, i: df.write.mode("overwrite").parquet(f"{path}/out/batch={i}")
+    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = stream.sparkSession
+    if not query.lastProgress:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/out")
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.where(F.col("batch") == (-1 if last is None else last)).drop("batch")

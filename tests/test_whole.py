@@ -142,3 +142,17 @@ def test_greedy_selection_by_brute_force(spark, sf_dir):
     frame = lambda m, kind: spark.createDataFrame([(i, x) for i, xs in m.items() for x in xs], f"item string, member {kind}")
     got = greedy_triplets(spark.createDataFrame([(i, *r) for i, r in few.items()], "item string, anchor long, score double, calls long"), frame(fun, "long"), frame(struct, "string"), 9, 10, 0.2)
     assert rows(got) == picks(few, fun, struct, 9, 10, 0.2) and [g[1] for g in rows(got)] == ["a", "c", "b"]
+
+
+def test_open_windows_and_sessions_count(spark, tmp_path):
+    """All lines of run 2, and the last ones of run 1, lie within the watermark's hour."""
+    from datetime import datetime
+
+    at = lambda h, m: datetime(2024, 1, 1, h, m)
+    lines = [(1, 1, "view", at(1, 0)), (2, 1, "click", at(5, 50)), (3, 2, "view", at(5, 55)), (4, 2, "error", at(5, 58))]
+    spark.createDataFrame(lines, "event_id long, user_id long, event_type string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/x")
+    next((tmp_path / "x").glob("part-*")).rename(tmp_path / "events.parquet")
+    got = run(spark, str(tmp_path), "st1_telemetry_windows").select(F.from_unixtime("start", "HH:mm"), "run", "n", "cov")
+    assert rows(got) == [("01:00", 1, 1, 1), ("05:50", 1, 1, 2), ("05:50", 2, 2, 3)]
+    assert sorted((r.run, r.n) for r in run(spark, str(tmp_path), "st1_session_windows").collect()) == [(1, 1), (1, 1), (2, 2)]
+    assert rows(run(spark, str(tmp_path), "st1_live_telemetry")) == [(1, True), (2, True)] and rows(run(spark, str(tmp_path), "st1_run_sessions")) == [(1,), (2,)]
