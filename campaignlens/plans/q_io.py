@@ -27,9 +27,10 @@ def reports(t):
     return good.groupBy("metric").agg(F.count("*").alias("n")).unionByName(bad.groupBy(F.col("reason").alias("metric")).agg(F.count("*").alias("n")))
 
 
-def documents(t):
+def documents(t, most=500):
+    """Documents of the functions of ``most`` ids in a row, as many as the ids need."""
     path = folder(t, "facts")
-    rows = t.functions.groupBy(F.lit(1).alias("schema_version"), (F.col("function_id") % 8).alias("part")).agg(F.collect_list(F.struct(F.col("function_id").alias("id"), "name")).alias("functions"))
+    rows = t.functions.groupBy(F.lit(1).alias("schema_version"), F.floor(F.col("function_id") / most).alias("part")).agg(F.collect_list(F.struct(F.col("function_id").alias("id"), "name")).alias("functions"))
     rows.drop("part").write.option("maxRecordsPerFile", 1).json(path)
     found, twice = R.fact_documents(t.spark, path, "id bigint, name string", "functions")
     return found.join(twice, "id", "left_anti").select("id", "name")

@@ -88,31 +88,18 @@ def typedef_chains(t):
 
 
 def rollback_states(t):
-    """The open rollback of each run, kept as state over a stream of its history (final state after all input)."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
+    """The open rollbacks of each run, from a stream of its history (final state after all input).
 
+    The state of each run and stage is its last error and its last signup, by built-in aggregation: no task holds a run's rows.
+    """
+    from campaignlens import streaming as ST
     from campaignlens.plans.q_io import folder, stream
 
-    def track(key, frames, state):
-        open_ = dict(zip(*state.get)) if state.exists else {}
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for kind, at, eid in zip(rows["event_type"], rows["ts"], rows["event_id"]):
-            stage = f"stage{1 + eid % 4}"
-            if kind == "error":
-                open_[stage] = int(eid)
-            elif kind == "signup":
-                open_.pop(stage, None)
-        state.update((list(open_), list(open_.values())))
-        yield pd.DataFrame({"run": [key[0]], "open": [",".join(sorted(open_))]})
-
-    events = stream(t).select("user_id", "event_id", "event_type", "ts")
-    out = events.groupBy("user_id").applyInPandasWithState(track, "run long, open string", "stages array<string>, ids array<long>", "update", GroupStateTimeout.NoTimeout)
-    path = folder(t, "st2")
-    query = out.writeStream.outputMode("update").foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{path}/out/batch={i}")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    rows = t.spark.read.parquet(f"{path}/out")
-    return rows.groupBy("run").agg(F.max_by("open", "batch").alias("open"))
+    last = lambda kind: F.max(F.when(F.col("event_type") == kind, F.struct("ts", "event_id")))
+    events = stream(t).select(F.col("user_id").alias("run"), F.concat(F.lit("stage"), (1 + F.col("event_id") % 4).cast("string")).alias("stage"), "event_id", "event_type", "ts")
+    states = ST.drained_whole(events.groupBy("run", "stage").agg(last("error").alias("bad"), last("signup").alias("good")), folder(t, "st2"))
+    is_open = F.col("bad").isNotNull() & (F.col("good").isNull() | (F.col("good") < F.col("bad")))
+    return states.groupBy("run").agg(F.array_join(F.array_sort(F.collect_list(F.when(is_open, F.col("stage")))), ",").alias("open"))
 
 
 register("a12_input_evidence", lambda t: t.votes.groupBy("item").agg(F.round(F.max(F.when(F.col("ok") & F.col("positive"), F.col("confidence"))), 6).alias("score")), "SELECT item, round(max(confidence) FILTER (ok AND positive), 6) AS score FROM @votes GROUP BY item")

@@ -156,3 +156,29 @@ def test_open_windows_and_sessions_count(spark, tmp_path):
     assert rows(got) == [("01:00", 1, 1, 1), ("05:50", 1, 1, 2), ("05:50", 2, 2, 3)]
     assert sorted((r.run, r.n) for r in run(spark, str(tmp_path), "st1_session_windows").collect()) == [(1, 1), (1, 1), (2, 2)]
     assert rows(run(spark, str(tmp_path), "st1_live_telemetry")) == [(1, True), (2, True)] and rows(run(spark, str(tmp_path), "st1_run_sessions")) == [(1,), (2,)]
+
+
+def test_documents_are_bounded(spark, sf_dir, tmp_path):
+    """Reads the documents that the query wrote."""
+    from campaignlens.plans import q_io
+    from campaignlens.plans.tables import Tables
+
+    given = q_io.folder
+    q_io.folder = lambda t, name: f"{tmp_path}/{name}"
+    try:
+        assert q_io.documents(Tables(spark, sf_dir), 7).count() == Tables(spark, sf_dir).functions.count()
+    finally:
+        q_io.folder = given
+    sizes = [len(r.functions) for r in spark.read.option("multiLine", "true").json(f"{tmp_path}/facts").collect()]
+    assert max(sizes) <= 7 and sum(sizes) == 200 and len(sizes) == 29
+
+
+def test_rollback_states_keep_the_last_of_each_stage(spark, sf_dir, monkeypatch):
+    """No rows of a run reach Python, where a hot run would have to fit."""
+    from pyspark.sql.group import GroupedData
+
+    def refused(*args, **kwargs):
+        raise AssertionError("a run's rows go to a Python worker")
+
+    monkeypatch.setattr(GroupedData, "applyInPandasWithState", refused)
+    assert run(spark, sf_dir, "st2_rollback_states").count() > 0
