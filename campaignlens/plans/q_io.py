@@ -43,7 +43,7 @@ def exports(t, which="run % 20 = 0"):
     files = summary.groupBy("run").agg(F.collect_list(F.struct(F.col("file").cast("string").alias("filename"), "summary")).alias("files"))
     files.select(F.array(F.struct("files")).alias("data")).write.json(path)
     # each line is a document of its own here
-    return t.spark.read.schema("data array<struct<files:array<struct<filename:string,summary:map<string,struct<count:bigint,covered:bigint>>>>>>").json(path).select(F.explode("data").alias("d")).select(F.explode("d.files").alias("f")).select(F.col("f.filename").alias("file"), F.explode("f.summary").alias("kind", "s")).groupBy("file", "kind").agg(F.sum("s.count").alias("total"), F.sum("s.covered").alias("covered"))
+    return R.coverage_export(t.spark, path, whole=False).groupBy("file", "kind").agg(F.sum("total").alias("total"), F.sum("covered").alias("covered"))
 
 
 def canonical(t):

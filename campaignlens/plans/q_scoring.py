@@ -67,6 +67,6 @@ register("p16_acceptable", lambda t: aggregate(t).select("candidate", (F.col("st
          f"WITH {AGG} SELECT candidate, status = 'eligible' AS ok, CASE WHEN status = 'eligible' THEN 'accepted' WHEN n_measured = 0 THEN 'no evidence' ELSE 'stage errors' END AS reason FROM agg")
 register("p17_exclusions", lambda t: aggregate(t).select("candidate", F.array_join(F.array_compact(F.array(F.when(F.col("n_errors") > 0, F.lit("errors")), F.when(F.col("n_measured") < 3, F.lit("few_metrics")), F.when(F.coalesce(F.col("score"), F.lit(0.0)) < 0.2, F.lit("low_score")))), ",").alias("reasons")),
          f"WITH {AGG} SELECT candidate, array_to_string(list_filter([CASE WHEN n_errors > 0 THEN 'errors' END, CASE WHEN n_measured < 3 THEN 'few_metrics' END, CASE WHEN coalesce(score, 0) < 0.2 THEN 'low_score' END], lambda x: x IS NOT NULL), ',') AS reasons FROM agg")
-register("x1_metric_registry", lambda t: __import__("functools").reduce(lambda a, b: a.unionByName(b), [t.metrics.where(F.col("metric") == m).groupBy("metric").agg(F.count_if(F.col("status") == "measured").alias("measured"), F.round(F.avg("score"), 6).alias("mean")) for m in ("view", "click", "error", "purchase", "signup")]),
+register("x1_metric_registry", lambda t: t.metrics.groupBy("metric").agg(F.count_if(F.col("status") == "measured").alias("measured"), F.round(F.avg("score"), 6).alias("mean")),
          "SELECT metric, count(*) FILTER (status = 'measured') AS measured, round(avg(score), 6) AS mean FROM @metrics GROUP BY metric")
 register("t2_greedy_selection", greedy_selection)

@@ -41,11 +41,11 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
 
 
-def coverage_export(spark: SparkSession, path: str) -> DataFrame:
-    """(file, kind, total, covered) of nested coverage documents."""
+def coverage_export(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """(file, kind, total, covered) of nested coverage documents, ``whole`` files or one a line."""
     one = "struct<count:bigint,covered:bigint>"
     schema = f"data array<struct<files:array<struct<filename:string,summary:map<string,{one}>>>>>"
-    rows = spark.read.schema(schema).option("multiLine", "true").json(path)
+    rows = spark.read.schema(schema).option("multiLine", str(whole).lower()).json(path)
     files = rows.select(F.explode("data").alias("d")).select(F.explode("d.files").alias("f"))
     return files.select(F.col("f.filename").alias("file"), F.explode("f.summary").alias("kind", "s")).select("file", "kind", F.col("s.count").alias("total"), F.col("s.covered").alias("covered"))
 

@@ -182,3 +182,9 @@ def test_rollback_states_keep_the_last_of_each_stage(spark, sf_dir, monkeypatch)
 
     monkeypatch.setattr(GroupedData, "applyInPandasWithState", refused)
     assert run(spark, sf_dir, "st2_rollback_states").count() > 0
+
+
+def test_registry_knows_every_metric(spark, tmp_path):
+    lines = [(i, 1, kind, i * 1.0, i) for i, kind in enumerate(["view", "refund", "refund"])]
+    spark.createDataFrame(lines, "event_id long, user_id long, event_type string, value double, ts long").write.parquet(f"{tmp_path}/events.parquet")
+    assert rows(run(spark, str(tmp_path), "x1_metric_registry").select("metric", "measured")) == [("refund", 1), ("view", 1)]
