@@ -7,16 +7,11 @@ from pyspark.sql import functions as F
 from campaignlens import streaming as ST
 from campaignlens.plans.registry import register
 from campaignlens.sources import readers as R
+from campaignlens.storage import shared_dir
 
 
 def folder(t, name):
-    found = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="campaignlens-")
-        t.spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def reports(t):
