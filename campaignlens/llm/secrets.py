@@ -4,8 +4,9 @@ Every rule is a regular expression. They are parsed together into one nondetermi
 automaton over bytes; subset construction and minimisation turn it into transition arrays,
 and one pass over a text's UTF-8 bytes runs all rules at once. Where the automaton accepts
 for a rule, that rule's reversed automaton finds the leftmost start and its forward
-automaton the longest end. Rules need to be such that a match which starts first also
-accepts first; those below are.
+automaton the longest end. Where that start lies in the match before, the rule's own
+automaton goes on from that match's end until it accepts. The time is linear in the text. Rules need to be such
+that a match which starts first also accepts first; those below are.
 """
 
 from __future__ import annotations
@@ -226,12 +227,13 @@ class Scanner:
             starts.append(a)
             ends[b] = i
         self.all = determinise(nfa, starts, ends, everywhere=True)
-        self.forward, self.back = [], []
+        self.forward, self.back, self.search = [], [], []
         for rule in self.rules:
             own = Nfa()
             a, b = own.add(rule.pattern)
             self.forward.append(determinise(own, [a], {b: 0}, everywhere=False))
             self.back.append(determinise(own, [b], {a: 0}, everywhere=False, backwards=True))
+            self.search.append(determinise(own, [a], {b: 0}, everywhere=True))
 
     @staticmethod
     def _longest(dfa: Dfa, data) -> int:
@@ -245,11 +247,22 @@ class Scanner:
                 break
         return best
 
+    def _catches_up(self, r: int, view: memoryview, behind: dict, end: int) -> bool:
+        """Whether the rule's own automaton, moved on to ``end``, accepts there."""
+        dfa = self.search[r]
+        at, state = behind[r]
+        for b in view[at:end]:
+            state = dfa.step[state + dfa.classes[b]]
+        behind[r] = end, state
+        return state >= dfa.accepting
+
     def byte_spans(self, data: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) of kept matches: for each rule leftmost, without overlaps; those too short are dropped."""
         dfa = self.all
         step, accepting, labels, width, n = dfa.step, dfa.accepting, dfa.labels, dfa.width, len(data)
+        view = memoryview(data)
         last, found = [0] * len(self.rules), []
+        behind: dict[int, tuple[int, int]] = {}  # of rules whose accepted match starts in the one before: how far their own automaton is, and its state
         state, it = dfa.start, iter(data.translate(dfa.classes.ljust(256, b"\0")))
         for c in it:
             state = step[state + c]
@@ -258,12 +271,17 @@ class Scanner:
                 for r in labels[state // width]:
                     if end <= last[r]:
                         continue
-                    length = self._longest(self.back[r], data[last[r] : end][::-1])
+                    if r in behind and not self._catches_up(r, view, behind, end):
+                        continue
+                    length = self._longest(self.back[r], view[last[r] : end][::-1])
                     if length < 0:
+                        behind[r] = last[r], self.search[r].start
+                        self._catches_up(r, view, behind, end)
                         continue
                     start = end - length
-                    stop = start + self._longest(self.forward[r], memoryview(data)[start:])
+                    stop = start + self._longest(self.forward[r], view[start:])
                     last[r] = stop
+                    behind.pop(r, None)
                     if self.rules[r].holds(data[start:stop]):
                         found.append((start, r, stop))
         return sorted(found)

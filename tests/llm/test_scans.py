@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -44,6 +45,24 @@ def test_more_secrets(scanner):
     assert [s[0] for s in scanner.spans(text)] == ["github", "pem"]
 
 
+def test_secrets_in_linear_time(scanner):
+    head = "eyJa.eyJb.eyJc.eyJ"
+    for text in (head + "a" * 1_000_000, head * 50_000, "token=" * 150_000, "AKIA" * 250_000, "eyJa." * 200_000, "-----BEGIN " * 90_000, "ghp_" * 250_000):
+        began = time.perf_counter()
+        scanner.spans(text)
+        assert time.perf_counter() - began < 4, text[:20]
+
+
+def test_overlapping_matches_of_one_rule():
+    rules = (secrets.Rule("jwt", r"eyJ[a-z]+\.eyJ[a-z]+\.[a-z]+"), secrets.Rule("pair", r"ab|bc"))
+    rnd = random.Random(3)
+    own = secrets.Scanner(rules)
+    for _ in range(3000):
+        text = "".join(rnd.choice(["eyJ", "a", ".", "eyJb.", "b", "c", " "]) for _ in range(rnd.randrange(20)))
+        want = [(m.start(), i, m.end()) for i, r in enumerate(rules) for m in re.finditer(r.pattern, text)]
+        assert own.byte_spans(text.encode()) == sorted(want), text
+
+
 def test_secret_query_and_redaction(spark, sf_dir):
     rows = queries.op2_secret_scan(spark, sf_dir).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
