@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from campaignlens.plans.fixpoint import fixpoint, written
+from campaignlens.storage import discard, materialize
 
 
 def derive_flows(params: DataFrame) -> DataFrame:
@@ -51,24 +52,33 @@ def reachable(pairs: DataFrame, starts: DataFrame, boundary: DataFrame | None =
     return fixpoint(first, step, ["anchor", "node"], rounds)
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """(node, root): the smallest node connected with each. Alternates large and small stars until nothing changes."""
-    edges = written(pairs.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a <> b").distinct())
+def star_roots(links: DataFrame) -> DataFrame:
+    """(node, root) of every node of ``links`` (a, b) but the roots: the smallest node that it is connected with.
+
+    Alternates large and small stars until nothing changes; each round is written out, and that before it deleted. Neighbours of one node are never gathered.
+    """
+    edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     state = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs_ = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = written(pairs_.where("a <> b").distinct())
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(lowest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
+        older, edges = edges, materialize(small.where("a <> b").distinct(), "links")
+        discard(older)
         new = tuple(edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
         if new == state:
-            roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-            return roots.union(edges.select("b", "b")).distinct()
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = new
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, root): the smallest node connected with each, the roots with themselves."""
+    roots = star_roots(pairs.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return roots.union(roots.select("root", "root")).distinct()
+
+
 def peeled(frames, first: int):
     """Layers of one task's graph: rows (src, dst, is_node), an open node as (node, node, true)."""
     import heapq
