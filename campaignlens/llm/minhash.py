@@ -14,7 +14,6 @@ components by alternating star contractions.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from campaignlens.llm.common import append_columns, discard, materialize, small_batches
+from campaignlens.operators.graph import star_roots
 
 BANDS, ROWS, SKETCH_BITS = 28, 4, 512
 SAMPLES = BANDS * ROWS
-#: Candidates whose sketches differ in more bits than similarity 0.2 below the threshold lets expect go no further;
-#: at the threshold itself the chance of that is under one in a million.
-MARGIN = 0.2
-#: Where many candidates are left, wider sketches tell them apart: more samples, and so a smaller margin of the same certainty.
-WIDE_SAMPLES, WIDE_BITS, WIDE_MARGIN = 1024, 4096, 0.07
+#: Candidates whose sketches differ in more bits than similarity 0.25 below the threshold lets expect go no further;
+#: for a link of similarity 0.8 the chance of that is 1.2e-7 (exact for independent samples, see the tests).
+MARGIN = 0.25
+#: Where many candidates are left, wider sketches tell them apart: more samples, and so a smaller margin: the chance is 1.0e-8.
+WIDE_SAMPLES, WIDE_BITS, WIDE_MARGIN = 1024, 4096, 0.08
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = np.random.default_rng(20_240_229)
 BYTE = SEED.integers(0, 2**64, 256, np.uint64)
@@ -158,46 +158,38 @@ def widely_sketched(df: DataFrame, text_col: str, size: int) -> DataFrame:
     return append_columns(df, text_col, T.StructType([T.StructField("wide", T.ArrayType(T.LongType()))]), make)
 
 
-def connected(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``links`` (a, b): the smallest node that it is connected with.
-
-    Alternates large and small stars; each round is written out. Neighbours of one node are never gathered.
-    """
-    edges = materialize(links.select("a", "b").where("a <> b").distinct(), "links")
-    state = None
-    while True:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b"), F.col("a")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        older, edges = edges, materialize(small.where("a <> b").distinct(), "links")
-        discard(older)
-        new = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first()
-        if tuple(new) == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        state = tuple(new)
-
-
-def still_apart(shared: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
-    """(key, rep, root, main) of the buckets that hold several components, and how many pairs these leave; ``main`` is a bucket's largest component."""
+def still_apart(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, rep, root, main, all, most) of the buckets that hold several components: ``main`` is a bucket's largest one, of ``most`` of its ``all`` members."""
     placed = shared.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     keys = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).where(F.col("all") > F.col("most"))
-    keys = materialize(keys, "mixed")
-    total = keys.agg(F.coalesce(F.sum(F.col("all") * (F.col("all") - F.col("most"))), F.lit(0))).first()[0]
-    return materialize(placed.join(keys, "key").select("key", "rep", "root", "main"), "open"), total
+    return materialize(placed.join(keys, "key"), "open")
+
+
+def gridded(places: DataFrame, minor: DataFrame, cell_pairs: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join by ``key`` with ``row`` and ``column``, so that no cell of a bucket has many more than ``cell_pairs`` pairs.
+
+    A bucket of few pairs is one cell. The members of a larger one are dealt to rows, its smaller components to columns, and each is sent to all cells of its line.
+    """
+    side = F.ceil(F.sqrt(F.col("all") * (F.col("all") - F.col("most")) / cell_pairs)).cast("int")
+    line = lambda name: F.pmod(F.xxhash64(F.col(name), F.lit(1)), side).cast("int")
+    across = F.explode(F.sequence(F.lit(0), side - 1))
+    return (
+        places.withColumn("row", line("rep")).withColumn("column", across).drop("all", "most"),
+        minor.withColumn("column", line("xrep")).withColumn("row", across).drop("all", "most"),
+    )
 
 
 def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, pass_pairs: int = 20_000_000, broadcast_ids: int = 1_000_000, broadcast_bytes: int = 32 << 20
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, cell_pairs: int = 4_000_000, broadcast_ids: int = 1_000_000, broadcast_bytes: int = 32 << 20
 ) -> DataFrame:
     """One row per row of ``df``: id, ``n_shingles``, ``component_id`` (the smallest id reachable over links) and ``kept``.
 
     Two documents are linked if their sets of ``size``-word shingles have 100 * intersection >= ``percent`` * union.
     Null, empty and word-less texts have no shingles and are linked with nothing. Rows of equal id and text are
     one document, each returned; null ids take no part and stay (component null). Other columns are left out. An empty table
-    gives an empty result.
+    gives an empty result. Pairs of one bucket are compared in tasks of about ``cell_pairs``, and a class of many copies is sent to
+    its rows, not joined by its digest. Sets of up to ``broadcast_bytes`` and ``broadcast_ids`` ids are broadcast, more are joined.
     """
     small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -205,7 +197,7 @@ def near_duplicates(
     classes = materialize(
         rows.where("n_shingles > 0 AND id IS NOT NULL")
         .groupBy("digest")
-        .agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        .agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "classes",
     )
     places = classes.select("rep", F.explode("bands").alias("key"))
@@ -246,42 +238,43 @@ def near_duplicates(
     first = shared.where("rep <> hub").groupBy("rep").agg(F.min("hub").alias("hub"))
     tried = first.select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     links = confirmed(tried)
-    roots = connected(links)
+    roots = star_roots(links)
     for hub in (F.min("rep"), F.max_by("rep", F.xxhash64("key", "rep"))):
-        open_places, _ = still_apart(shared, roots)
+        open_places = still_apart(shared, roots)
         hubs = open_places.where("root = main").groupBy("key").agg(hub.alias("hub"))
         pairs = open_places.where("root <> main").join(hubs, "key").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(pairs)
         found = confirmed(pairs)
-        roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+        roots = star_roots(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
         discard(open_places)
     # whatever of a bucket lies in different components after that: the smaller components against the rest, each pair in the first
     # bucket that it shares, and only if the wide sketches are alike
-    open_places, total = still_apart(shared, roots)
-    if total:
+    open_places = still_apart(shared, roots)
+    if not open_places.isEmpty():
         wide = materialize(widely_sketched(of_ids(open_places.select(F.col("rep").alias("id")).distinct()), "text", size).dropDuplicates(["id"]).select(F.col("id").alias("rep"), "wide"), "wide")
-        known = classes.select("rep", "n", "bands", "sketch").join(wide, "rep")
-        places = materialize(open_places.join(known, "rep"), "places")
-        minor = places.where("root <> main").select("key", *[F.col(c).alias("x" + c) for c in ("rep", "root", "n", "bands", "sketch", "wide")])
-        passes = -(-total // pass_pairs)
+        places = materialize(open_places.join(info.join(wide, "rep"), "rep"), "places")
+        minor = places.where("root <> main").select("key", "all", "most", *[F.col(c).alias("x" + c) for c in ("rep", "root", "n", "sketch", "wide")])
         alike = (
             (F.col("root") != F.col("xroot"))
             & ((F.col("root") == F.col("main")) | (F.col("rep") < F.col("xrep")))
             & like_sizes(F.col("n"), F.col("xn"))
             & (differing_bits(F.col("sketch"), F.col("xsketch")) <= bits_at(percent / 100 - MARGIN))
             & (differing_bits(F.col("wide"), F.col("xwide")) <= bits_at(percent / 100 - WIDE_MARGIN, WIDE_SAMPLES, WIDE_BITS))
-            & (F.element_at(F.filter("bands", lambda k: F.array_contains("xbands", k)), 1) == F.col("key"))
         )
-        found = []
-        for i in range(passes):
-            part = minor if passes == 1 else minor.where(F.pmod(F.xxhash64("xrep"), F.lit(passes)) == i)
-            pairs = places.join(part.withColumnRenamed("key", "xkey"), (F.col("key") == F.col("xkey")) & alike)
-            found.append(compared(pairs.select(F.col("rep").alias("a"), F.col("xrep").alias("b"), F.col("n").alias("na"), F.col("xn").alias("nb"))))
-        discard(open_places, wide, places)
-        roots = connected(reduce(DataFrame.union, found, roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-
-    of_class = classes.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("component"))
-    joined = rows.select("id", "n_shingles", "digest").join(of_class, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
-    return joined.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+        left, right = gridded(places, minor, cell_pairs)
+        pairs = left.join(right, ["key", "row", "column"]).where(alike)
+        found = compared(pairs.select(F.col("rep").alias("a"), F.col("xrep").alias("b"), F.col("n").alias("na"), F.col("xn").alias("nb")).distinct())
+        discard(wide, places)
+        roots = star_roots(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+    discard(open_places, shared)
+
+    # each row's component by its digest. Classes with over a thousandth of all rows are fewer than a thousand and go to all tasks
+    of_class = materialize(classes.select("digest", "rep", "copies").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "copies", F.coalesce("root", "rep").alias("component")), "components")
+    total = of_class.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    common = F.broadcast(of_class.where(F.col("copies") * 1000 > total).select("digest", F.col("component").alias("known")))
+    rows = rows.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("digest")).alias("digest")).join(common, "digest", "left")
+    rare = F.col("digest").isNotNull() & F.col("known").isNull()
+    joined = rows.where(rare).join(of_class.select("digest", "component"), "digest").select("id", "n_shingles", "component")
+    ready = rows.where(~rare).select("id", "n_shingles", F.when(F.col("digest").isNotNull(), F.col("known")).otherwise(F.when(F.col("n_shingles") == 0, F.col("id"))).alias("component"))
+    return joined.union(ready).select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

@@ -1,5 +1,6 @@
 """Near duplicates against all pairs."""
 
+import math
 import random
 import re
 
@@ -75,4 +76,30 @@ def test_sketches_estimate_similarity():
         low = np.array([minhash.signature(x[:810]), minhash.signature(x[90:])])
         a, b = minhash.sketches(low)
         bits.append(sum(int(v).bit_count() for v in (a ^ b).view(np.uint64)))
-    assert abs(np.mean(bits) - minhash.bits_at(0.8)) < 3 and max(bits) <= minhash.bits_at(0.6)
+    assert abs(np.mean(bits) - minhash.bits_at(0.8)) < 3 and max(bits) <= minhash.bits_at(0.8 - minhash.MARGIN)
+
+
+def chance_of_loss(samples, bits, limit, similarity):
+    """That sketches of sets of a similarity differ in more than ``limit`` bits: each sample that differs flips two bits."""
+    odd, dist, ways = np.arange(bits + 1), [np.eye(1, bits + 1)[0]], 0.0
+    for _ in range(2 * samples):
+        p, q = dist[-1], np.zeros(bits + 1)
+        q[1:] += p[:-1] * (bits - odd[:-1]) / bits
+        q[:-1] += p[1:] * odd[1:] / bits
+        dist.append(q)
+    for d in range(samples + 1):
+        chance = math.exp(math.lgamma(samples + 1) - math.lgamma(d + 1) - math.lgamma(samples - d + 1) + d * math.log(1 - similarity) + (samples - d) * math.log(similarity))
+        ways += chance * dist[2 * d][limit + 1 :].sum()
+    return ways
+
+
+def test_margins_lose_links_as_rarely_as_stated():
+    assert chance_of_loss(minhash.SAMPLES, minhash.SKETCH_BITS, minhash.bits_at(0.8 - minhash.MARGIN), 0.8) < 1.3e-7
+    assert chance_of_loss(minhash.WIDE_SAMPLES, minhash.WIDE_BITS, minhash.bits_at(0.8 - minhash.WIDE_MARGIN, minhash.WIDE_SAMPLES, minhash.WIDE_BITS), 0.8) < 1.1e-8
+    assert (1 - 0.8**minhash.ROWS) ** minhash.BANDS < 5e-7
+
+
+def test_pairs_of_one_bucket_in_many_tasks(spark):
+    docs = documents(9)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {tuple(r) for r in minhash.near_duplicates(df, size=4, cell_pairs=2, broadcast_bytes=1, broadcast_ids=1).collect()} == brute(docs, 4, 80)
