@@ -1,6 +1,7 @@
 """Chat formatting and HTML extraction."""
 
 import hashlib
+import time
 
 import pytest
 
@@ -59,3 +60,38 @@ def test_main_text_drops_nothing_of_the_article():
     assert html.main_text(f"<body><div><ul><li><a href=/>Home</a></li><li><a href=/b>About</a></li></ul></div><div><p>{long}</p></div></body>") == long.strip()
     assert html.main_text(f"<article><p>{long}</p><ul><li><a href=/a>Source one</a></li><li><a href=/b>Source two</a></li></ul></article>") == f"{long}Source one Source two"
     assert html.main_text(f"<main><p>{long}</p><ol><li><a href=/a>Source one</a></li><li><a href=/b>Two</a></li></ol><p>{long}</p></main>") == f"{long}Source one Two {long}".strip()
+
+
+TEXT = "Somewhat long sentences of the story stand here, one after the other, until the end of the line comes. "
+FLAT = (
+    "<body><p>Accept all?<p><a href=/>Start</a><p><a href=/b>Weather</a><p><a href=/c>Sports</a><p>Today<p>Monday<p>1 May<p>Edition<p>Page 1<p>North"
+    + "<h1>What happened</h1>" + f"<p>{TEXT * 3}<p>Short one.<p>{TEXT * 4}<p>Why?<p>{TEXT * 2}" + "<p>No rights<p>Imprint<p>Made in Spring<p>v2<p>Top<p>Help<p>Jobs<p>Press</body>"
+)
+
+
+def test_the_method_selects_on_pages_without_telling_names(monkeypatch):
+    got = html.main_text(FLAT)
+    want = f"What happened {TEXT * 3}Short one. {TEXT * 4}Why? {TEXT * 2}"
+    assert want.strip() in got and not any(x in got for x in ("Accept", "Weather", "Monday", "Page", "Made", "Jobs"))
+    monkeypatch.setattr(html, "threshold", lambda values: -1.0)  # every line is content
+    assert "Weather" in html.main_text(FLAT) or "Imprint" in html.main_text(FLAT)
+    monkeypatch.undo()
+    monkeypatch.setattr(html, "smoothed", lambda values: values)  # lines stand for themselves
+    assert "What happened" not in html.main_text(FLAT)
+
+
+def test_marks_are_a_feature_only():
+    assert html.main_text(f"<body><div class=sidebar><nav><a href=/>Home</a></nav><p>{TEXT * 3}</p><p>Short.</p></div></body>") == f"{TEXT * 3}Short."
+    assert html.main_text(f"<article><p>{TEXT}<p class=advert>Buy this now, it is very good and cheap!<p>{TEXT}</article>") == f"{TEXT}{TEXT}".strip()
+    assert html.main_text(f"<body><div><p>{TEXT * 2}</div><div class=comments>" + "<p>I do not like what they say here at all, and that for years!" * 30 + "</div>") == (TEXT * 2).strip()
+    assert html.main_text(f"<article><p>{TEXT}and <span class=ad>Ad</span><span hidden>x</span>more.<p>{TEXT}</article>") == f"{TEXT}and more. {TEXT}".strip()
+    assert html.main_text("<ul><li><a href=/>Home</a><li><a href=/b>About</a></ul>") == "" == html.main_text("<!-- <p>text</p>")
+    assert html.main_text("<article><p>text<a ") == html.main_text("<article><p>text<!-- x") == "text"
+
+
+def test_main_text_in_linear_time():
+    pages = ("<div>x" * 100_000, "<a " * 250_000, "<div>" * 50_000 + "</td>" * 100_000, "<!-- " * 200_000 + ">", "<![CDATA[" * 100_000 + ">", '<a b="' * 150_000 + ">", "<3" * 400_000, "<ul><li><a href=x>y</a>" * 25_000)
+    for page in pages:
+        began = time.perf_counter()
+        html.main_text(page)
+        assert time.perf_counter() - began < 6, page[:20]
