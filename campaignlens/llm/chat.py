@@ -118,7 +118,7 @@ def format_chats(turns: DataFrame, key: str = "conv_id", order: str = "turn", ro
 
 def read_chats(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
     """Replace what :func:`format_chats` made by ``turns`` (role and text, unescaped) and ``loss_text`` (the texts under the loss, joined),
-    both read from the formatted text and its spans. ``formatted`` stays."""
+    both read from the formatted text and its spans. ``formatted`` and ``valid`` stay."""
 
     def make():
         def apply(rows):

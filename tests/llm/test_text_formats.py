@@ -21,6 +21,14 @@ def test_chat_round_trip_and_mask(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_the_machine_judges_the_order_of_roles(spark):
+    orders = {1: "sua", 2: "uaua", 3: "au", 4: "suu", 5: "ua" + "s", 6: "u", 7: "ssua", 8: "sa", 9: "xua"}
+    names = {"s": "system", "u": "user", "a": "assistant", "x": "tool"}
+    rows = [(k, i, names[c], "t") for k, order in orders.items() for i, c in enumerate(order)]
+    got = chat.read_chats(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))).collect()
+    assert {r.conv_id for r in got if r.valid} == {1, 2}
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="<p>x</p>";</script></head><body>
 <header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a><li><a href=/b>About us and more</a></ul></nav>
 <div class="cookie-banner">We use cookies on this site, please accept all of them now.</div>
