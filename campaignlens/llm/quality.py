@@ -4,7 +4,9 @@ Trusted positives and unlabelled web text are described by statistics of their f
 symbols, repetition of words, word pairs and lines). An additive model over piecewise linear
 functions of these minimises ``prior * risk(positives as 1) + max(0, risk(unlabelled as 0) -
 prior * risk(positives as 0))`` with logistic losses, so that its output estimates the
-probability of class 1. Negatives are never used as such; the prior is the share of class 1 among labels.
+probability of class 1. Negatives are never used. The class prior is estimated from positives and unlabelled text alone: a classifier of
+positives against unlabelled text is fitted on half of both; on the other half the prior is the least ratio, over score thresholds, of the shares
+of unlabelled text and of positives above it, with confidence bounds for small shares (best-bin estimation, Garg et al. 2021).
 """
 
 from __future__ import annotations
@@ -79,6 +81,20 @@ def hinges(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
     return np.concatenate(parts, axis=1)
 
 
+def risks(p: np.ndarray, u: np.ndarray, w: np.ndarray, bias: float, prior: float) -> tuple[float, float, np.ndarray]:
+    """The risk of positives as class 1, the corrected risk of class 0, and the gradient (weights, then bias) of the step to take.
+
+    While the corrected risk is not negative that is the gradient of their sum, else that of the corrected risk's negative.
+    """
+    sp = 1 / (1 + np.exp(-np.clip(p @ w + bias, -30, 30)))
+    su = 1 / (1 + np.exp(-np.clip(u @ w + bias, -30, 30)))
+    positive = -prior * np.log(np.maximum(sp, 1e-12)).mean()
+    negative = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
+    as_one, as_zero, unlabelled = (sp - 1) / len(p), sp / len(p), su / len(u)
+    gp, gu = (prior * (as_one - as_zero), unlabelled) if negative >= 0 else (prior * as_zero, -unlabelled)
+    return float(positive), float(negative), np.append(p.T @ gp + u.T @ gu, gp.sum() + gu.sum())
+
+
 def fit_non_negative(positives: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, penalty: float = 1e-4) -> QualityModel:
     both = np.concatenate([positives, unlabelled])
     knots = np.quantile(both, [0, 0.02, 0.1, 0.3, 0.6, 0.85, 0.95, 0.99], axis=0)
@@ -86,22 +102,45 @@ def fit_non_negative(positives: np.ndarray, unlabelled: np.ndarray, prior: float
     w, bias = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        sp = 1 / (1 + np.exp(-np.clip(p @ w + bias, -30, 30)))
-        su = 1 / (1 + np.exp(-np.clip(u @ w + bias, -30, 30)))
-        negative = -np.log1p(-np.minimum(su, 1 - 1e-9)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-9)).mean()
-        # gradients of the risks in the linear scores
-        as_one, as_zero, unl = (sp - 1) / len(p), sp / len(p), su / len(u)
-        if negative >= 0:
-            gp, gu = prior * as_one - prior * as_zero, unl
-        else:  # the corrected part has become negative: step back
-            gp, gu = prior * as_zero, -unl
-        g = np.append(p.T @ gp + u.T @ gu + penalty * w, gp.sum() + gu.sum())
+        g = risks(p, u, w, bias, prior)[2]
+        g[:-1] += penalty * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
     return QualityModel(knots, w, bias)
 
 
+def fit_logistic(ones: np.ndarray, zeros: np.ndarray, steps: int = 300, rate: float = 0.05, penalty: float = 1e-3) -> QualityModel:
+    """Logistic regression of two classes of equal weight, over the same functions."""
+    knots = np.quantile(np.concatenate([ones, zeros]), [0, 0.02, 0.1, 0.3, 0.6, 0.85, 0.95, 0.99], axis=0)
+    x = hinges(np.concatenate([ones, zeros]), knots)
+    y = np.repeat([1.0, 0.0], [len(ones), len(zeros)])
+    share = np.where(y == 1, 0.5 / len(ones), 0.5 / len(zeros))
+    w, bias = np.zeros(x.shape[1]), 0.0
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    for step in range(1, steps + 1):
+        g = (1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30))) - y) * share
+        g = np.append(x.T @ g + penalty * w, g.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, bias = w - move[:-1], bias - move[-1]
+    return QualityModel(knots, w, bias)
+
+
+def estimate_prior(positives: np.ndarray, unlabelled: np.ndarray, failure: float = 0.1, slack: float = 0.01) -> float:
+    """Share of class 1 in the unlabelled rows: the ratio of the shares of both samples above the threshold whose bound is least."""
+    if min(len(positives), len(unlabelled)) < 4:
+        return 0.5
+    model = fit_logistic(positives[::2], unlabelled[::2])
+    p, u = np.sort(model.score(positives[1::2])), np.sort(model.score(unlabelled[1::2]))
+    cuts = np.unique(p)
+    share_p = 1 - np.searchsorted(p, cuts) / len(p)
+    share_u = 1 - np.searchsorted(u, cuts) / len(u)
+    doubt = np.sqrt(np.log(4 / failure) / 2 / len(u)) + np.sqrt(np.log(4 / failure) / 2 / len(p))
+    best = np.argmin((share_u + (1 + slack) * doubt) / share_p)
+    return float(np.clip(share_u[best] / share_p[best], 0.02, 0.98))
+
+
 FEATURES = T.StructType([T.StructField("features", T.ArrayType(T.DoubleType()))])
 
 
@@ -111,32 +150,41 @@ def crc_of(id_col: Column, modulus: int) -> Column:
 
 
 def first_by_hash(df: DataFrame, id_col: str, n: int) -> DataFrame:
-    """A sample of at most ``n`` rows that depends on the ids alone."""
-    return df.orderBy(F.xxhash64(id_col), id_col).limit(n)
-
+    """The ``n`` rows of the smallest hashes of their ids, all if there are fewer; ties of a hash go to the smaller id.
 
-def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = 8000, unlabelled: int = 16000) -> QualityModel | None:
+    Rows are counted by range of their hash first, so that only those of the lowest ranges, not many more than ``n``, are ordered in one task.
+    """
+    ranges = 1 << 12
+    place = F.floor((F.xxhash64(id_col).cast("double") / 2.0**64 + 0.5) * ranges)
+    upto, last = 0, ranges
+    for row in df.groupBy(place.alias("range")).count().orderBy("range").collect():  # at most ranges + 1 rows
+        upto += row["count"]
+        if upto >= n:
+            last = row["range"]
+            break
+    return df.where(place <= last).orderBy(F.xxhash64(id_col), id_col).limit(n)
+
+
+def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", positives: int = 8000, unlabelled: int = 16000, prior: float | None = None) -> QualityModel | None:
     """Fit on at most ``positives`` documents of label 1 and ``unlabelled`` documents of any kind.
 
     Which they are follows from a hash of the ids. ``labels`` should hold the training rows only; null labels and
-    labels without a document take no part. Without labels of class 1 there is no model.
+    labels without a document take no part, nor does any other label than 1. ``prior`` is the share of class 1 among all documents, estimated if not
+    given. Without labels of class 1 there is no model.
     """
     small_batches(docs.sparkSession)
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).dropna()
-    share = known.agg(F.avg((F.col("y") == 1).cast("double"))).first()[0]
-    if not share:
-        return None
+    known = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).dropna().distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chosen = first_by_hash(known.where("y = 1").select("id").distinct(), "id", positives).withColumn("positive", F.lit(True)).union(
+    chosen = first_by_hash(known, "id", positives).withColumn("positive", F.lit(True)).union(
         first_by_hash(texts.select("id").where("id IS NOT NULL"), "id", unlabelled).withColumn("positive", F.lit(False))
     )
     # at most positives + unlabelled ids
-    sample = append_columns(texts.join(F.broadcast(chosen), "id"), "text", FEATURES, _maker).select("positive", "features").toPandas()
+    sample = append_columns(texts.join(F.broadcast(chosen), "id"), "text", FEATURES, _maker).select("positive", "features", "id").toPandas().sort_values("id", kind="stable")
     x = np.array(sample["features"].tolist(), float).reshape(len(sample), -1)
     mask = sample["positive"].to_numpy(bool)
     if not mask.any() or mask.all():
         return None
-    return fit_non_negative(x[mask], x[~mask], min(max(share, 0.02), 0.98))
+    return fit_non_negative(x[mask], x[~mask], prior if prior is not None else estimate_prior(x[mask], x[~mask]))
 
 
 def _maker():
