@@ -6,12 +6,13 @@ unless all its sentences are clean, ``1 - product(1 - sentence)``. The sentence
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,14 +63,27 @@ class ToxicityModel:
             for m in SENTENCE.finditer(low if same else text or ""):
                 z = self.bias + sum(map(weights.__getitem__, set(WORD.findall(m[0] if same else m[0].lower()))))
                 z = min(max(z, -30.0), 30.0)
-                logs -= np.log1p(np.exp(z))
+                logs -= math.log1p(math.exp(z))
                 if z >= 0:
-                    found.append((m.start(), m.end(), float(1 / (1 + np.exp(-z)))))
-            return float(-np.expm1(logs)), found
+                    found.append((m.start(), m.end(), 1 / (1 + math.exp(-z))))
+            return -math.expm1(logs), found
 
         return score
 
 
+def noisy_or_step(place: np.ndarray, sentence: np.ndarray, doc: np.ndarray, w: np.ndarray, labels: np.ndarray, share: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log loss of documents, each weighted by its ``share``, and its gradient in the weights and, last of ``w``, the bias.
+
+    ``place`` holds the weights that sentence ``sentence`` sums, ``doc`` the document of each sentence.
+    """
+    z = np.clip(w[-1] + np.bincount(sentence, w[place], len(doc)), -30, 30)
+    p = 1 / (1 + np.exp(-z))
+    clean = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(labels)))
+    loss = -(share * np.where(labels == 1, np.log(np.maximum(1 - clean, 1e-12)), np.log(np.maximum(clean, 1e-300)))).sum()
+    g = (np.where(labels == 1, -clean / np.maximum(1 - clean, 1e-6), 1.0) * share)[doc] * p
+    return float(loss), np.append(np.bincount(place, g[sentence], len(w) - 1), g.sum())
+
+
 def fit_noisy_or(flats: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray, steps: int = 150, rate: float = 0.15, bias: float = -5.0, penalty: float = 2e-3, least_surprise: float = 10.0) -> ToxicityModel:
     """``flats``: for each document the slots of its sentences one after another; ``sizes``: how many each sentence has."""
     # what makes a document toxic stands in toxic ones far more often than chance would have it
@@ -94,17 +108,11 @@ def fit_noisy_or(flats: list[np.ndarray], sizes: list[np.ndarray], labels: np.nd
         sentences_.append(before + np.repeat(np.arange(len(own)), own)[keep])
         before += len(own)
     place, sentence = np.concatenate(places), np.concatenate(sentences_)
-    n = before
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     w[-1] = bias
     balance = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))
     for step in range(1, steps + 1):
-        z = np.clip(w[-1] + np.bincount(sentence, w[place], n), -30, 30)
-        p = 1 / (1 + np.exp(-z))
-        clean = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(flats)))
-        factor = np.where(labels == 1, -clean / np.maximum(1 - clean, 1e-6), 1.0) * balance
-        g = factor[doc] * p
-        grad = np.append(np.bincount(place, g[sentence], len(used)), g.sum())
+        grad = noisy_or_step(place, sentence, doc, w, labels, balance)[1]
         grad[:-1] += penalty * w[:-1] / max(1, len(used))
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
@@ -112,16 +120,22 @@ def fit_noisy_or(flats: list[np.ndarray], sizes: list[np.ndarray], labels: np.nd
     return ToxicityModel({int(s): float(x) for s, x in zip(used, w) if x}, float(w[-1]))
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2500) -> ToxicityModel | None:
-    """Fit on at most ``per_class`` labelled documents of each class, chosen by a hash of their ids.
+def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 2500, class_bytes: int = 16 << 20) -> ToxicityModel | None:
+    """Fit on at most ``per_class`` labelled documents of each class, and of these on as many as have ``class_bytes`` of text together,
+    in the order of a hash of their ids.
 
-    ``labels`` should hold the training rows only; null labels and labels without a document take no part. Without
+    What the driver gets is bounded by both. Every document of the sample is read whole. ``labels`` should hold the training rows only; null labels and labels without a document take no part. Without
     documents of both classes there is no model.
     """
     small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
     chosen = first_by_hash(known.where("y = 1"), "id", per_class).union(first_by_hash(known.where("y = 0"), "id", per_class))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # two rows of at most per_class sizes each
+    upto = F.sum("n").over(Window.partitionBy("y").orderBy("h", "id", "n").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = texts.select("id", "y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("id").alias("h")).groupBy("id", "y", "h").agg(F.sum("n").alias("n"))
+    fitting = sizes.withColumn("upto", upto).where(F.col("upto") - F.col("n") < class_bytes).where(F.col("n") <= class_bytes).select("id")
+    texts = texts.join(F.broadcast(fitting), "id", "left_semi")
 
     def make():
         def apply(rows):
