@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import time
 
 import numpy as np
@@ -128,3 +130,34 @@ def test_decontamination_as_brute_force_finds_it(spark, block):
         assert (r.n_words, r.n_hit, list(r.item_ids)) == brute_hits(r.text, kept, 5), r
         assert sum(len(decontam.WORD.findall(r.text[s.start : s.end])) for s in r.hit_spans) == r.n_hit
     assert decontam.find_contamination(df, bench.limit(0)).agg({"n_hit": "sum"}).first()[0] == 0
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 8, 13])
+def test_windows_through_half_windows(size):
+    rnd = random.Random(size)
+    words = ["a", "b", "c"]
+    for _ in range(40):
+        text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+        shared = text(size + 3)
+        items = [(str(i), text(rnd.randrange(4)) + " " + shared[: rnd.randrange(len(shared))] + " " + text(rnd.randrange(3 * size))) for i in range(25)]
+        matcher = decontam.Matcher(items, size)
+        for _ in range(6):
+            doc = text(rnd.randrange(10)) + " " + rnd.choice(items)[1] + " x " + shared + " " + text(rnd.randrange(40))
+            n, runs, found = matcher.hits(doc)
+            assert (n, sum(b - a for a, b in runs), sorted(found)) == brute_hits(doc, items, size)
+
+
+def test_memory_of_the_automaton():
+    script = """
+import random, resource
+from campaignlens.llm import decontam
+rnd = random.Random(1)
+words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(20000)]
+items = [(str(i), " ".join(rnd.choice(words) for _ in range(150))) for i in range(2000)]
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+matcher = decontam.Matcher(items, 13)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / 300000)
+"""
+    a_word = float(subprocess.run([sys.executable, "-c", script], capture_output=True, text=True, check=True).stdout)
+    print("bytes a word:", a_word)
+    assert a_word < 200
