@@ -31,9 +31,9 @@ def documents(t, most=500):
     return found.join(twice, "id", "left_anti").select("id", "name")
 
 
-def exports(t, which="run % 20 = 0"):
+def exports(t):
     path = folder(t, "coverage")
-    by_file = t.coverage.groupBy("run", "file", "kind").agg(F.sum("total").alias("count"), F.sum("covered").alias("covered")).where(which)
+    by_file = t.coverage.groupBy("run", "file", "kind").agg(F.sum("total").alias("count"), F.sum("covered").alias("covered"))
     summary = by_file.groupBy("run", "file").agg(F.map_from_entries(F.collect_list(F.struct("kind", F.struct("count", "covered")))).alias("summary"))
     files = summary.groupBy("run").agg(F.collect_list(F.struct(F.col("file").cast("string").alias("filename"), "summary")).alias("files"))
     files.select(F.array(F.struct("files")).alias("data")).write.json(path)
@@ -81,7 +81,7 @@ def sessions(t):
 
 register("s2_fact_documents", documents, "SELECT function_id AS id, name FROM @functions")
 register("s3_strict_reports", reports, "SELECT metric, count(*) AS n FROM @metrics WHERE status <> 'error' GROUP BY 1 UNION ALL SELECT 'not readable', count(*) FROM @metrics WHERE status = 'error'")
-register("s6_coverage_export", exports, "SELECT file::VARCHAR AS file, kind, sum(total)::BIGINT AS total, sum(covered)::BIGINT AS covered FROM @coverage WHERE run % 20 = 0 GROUP BY 1, 2")
+register("s6_coverage_export", exports, "SELECT file::VARCHAR AS file, kind, sum(total)::BIGINT AS total, sum(covered)::BIGINT AS covered FROM @coverage GROUP BY 1, 2")
 register("s7_canonical_sink", canonical, "SELECT function_id, name, file FROM @functions")
 register("s9_output_by_key", by_key, "SELECT resource_type, count(*) AS n FROM @functions GROUP BY 1")
 register("st1_live_telemetry", lambda t: telemetry_windows(t).groupBy("run").agg(F.max("cov").alias("cov")).where("cov IS NOT NULL").select("run", (F.col("cov") >= 0).alias("seen")), "SELECT user_id AS run, true AS seen FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")

@@ -40,9 +40,9 @@ def retain_release(t):
     return later.join(ends, ["caller", "binding"]).where("released > taken AND (next_redef IS NULL OR released < next_redef)").select("caller", "binding", "taken", "released")
 
 
-def manifest_check(t, which="caller % 200 = 0"):
+def manifest_check(t):
     """Selected ids that the catalogue lacks or that occur twice."""
-    chosen = t.calls.where(which).select(F.col("callee").alias("item"))
+    chosen = t.calls.select(F.col("callee").alias("item"))
     twice = chosen.groupBy("item").count().where("count > 1").select("item", F.lit("duplicate").alias("problem"))
     unknown = chosen.join(t.functions.where("defined").select(F.col("function_id").alias("item")), "item", "left_anti").distinct().select("item", F.lit("unknown").alias("problem"))
     return twice.unionByName(unknown)
@@ -55,10 +55,10 @@ def family_contracts(t):
     return pairs.groupBy("function_id").agg(F.count("*").alias("n"), F.min("family").alias("family")).where("n = 1").select("function_id", "family")
 
 
-def lifecycle_closure(t, which="caller % 50 = 0"):
+def lifecycle_closure(t):
     """Edges of producers to cleanups that the graph lacks."""
-    pairs = L.pair_lifecycles(t.calls.where(which)).select(F.col("producer").alias("src"), F.col("cleanup").alias("dst")).where("src <> dst").distinct()
-    return pairs.join(t.edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    pairs = L.pair_lifecycles(t.calls).select(F.col("producer").alias("src"), F.col("cleanup").alias("dst")).where("src <> dst").distinct()
+    return pairs.join(t.all_edges.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
 def immutable_fields(t):
@@ -110,22 +110,22 @@ register("a16_usage_support", usage_support, f"WITH {q_traces.SUPPORT} SELECT p,
 register("a36_delegating_alternatives", lambda t: t.calls.groupBy("caller").agg(F.count("*").alias("n"), F.min("callee").alias("only"), F.min("role").alias("role")).where("n = 1").groupBy("only", "role").agg(F.count("*").alias("members"), F.min("caller").alias("first")).where("members > 1"),
          "SELECT only_ AS \"only\", role, count(*) AS members, min(caller) AS first FROM (SELECT caller, min(callee) AS only_, min(role) AS role FROM @calls GROUP BY 1 HAVING count(*) = 1) q GROUP BY 1, 2 HAVING count(*) > 1")
 register("j7_retain_release", retain_release, f"WITH {q_traces.NEXT} SELECT n.caller, n.binding, n.ordinal AS taken, c.ordinal AS released FROM nx n JOIN @calls c ON c.caller = n.caller AND c.binding = n.binding AND c.role = 'cleanup' AND c.ordinal > n.ordinal AND (next_redef IS NULL OR c.ordinal < next_redef) WHERE n.role = 'consumer' AND n.callee % 5 = 0")
-register("j12_consumable_patterns", lambda t: L.pair_lifecycles(t.calls).join(t.anchors.select(F.col("anchor").alias("producer")), "producer", "left_semi").groupBy("producer").agg(F.count("*").alias("patterns"), F.countDistinct("cleanup").alias("cleanups")), f"WITH {q_traces.PAIRS} SELECT producer, count(*) AS patterns, count(DISTINCT cleanup) AS cleanups FROM pairs WHERE producer IN (SELECT anchor FROM @anchors) GROUP BY 1")
+register("j12_consumable_patterns", lambda t: L.pair_lifecycles(t.calls).join(t.all_anchors.select(F.col("anchor").alias("producer")), "producer", "left_semi").groupBy("producer").agg(F.count("*").alias("patterns"), F.countDistinct("cleanup").alias("cleanups")), f"WITH {q_traces.PAIRS} SELECT producer, count(*) AS patterns, count(DISTINCT cleanup) AS cleanups FROM pairs WHERE producer IN (SELECT anchor FROM @all_anchors) GROUP BY 1")
 register("j14_resource_consumers", lambda t: t.calls.where("role = 'consumer'").select("binding", "callee").distinct().join(t.calls.where("role <> 'consumer'").select("binding", "callee").distinct(), ["binding", "callee"], "left_anti").groupBy("binding").agg(F.count("*").alias("consumers")), "SELECT binding, count(*) AS consumers FROM (SELECT binding, callee FROM @calls WHERE role = 'consumer' EXCEPT SELECT binding, callee FROM @calls WHERE role <> 'consumer') q GROUP BY 1")
 register("j19_ownership_ordering", lambda t: P.inferred_ownership(t.functions).join(t.calls.select(F.col("callee").alias("cleanup"), F.lit(True).alias("called")).distinct(), "cleanup", "left").select("producer", "cleanup", F.when(F.col("called"), "ordered").otherwise("absent").alias("state")),
          f"""WITH {q_facts.ROLES}, c AS (SELECT resource_type, name, round(max(CASE WHEN defined THEN 0.2 ELSE 0.05 END::DOUBLE + CASE WHEN contains(name, 'destroy') THEN 0.1 ELSE 0.05 END::DOUBLE), 6) AS score, min(function_id) AS cleanup FROM roles WHERE is_cleanup GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER w AS i, lead(score) OVER w AS nxt FROM c WINDOW w AS (PARTITION BY resource_type ORDER BY score DESC, name)), b AS (SELECT * FROM r WHERE i = 1 AND (nxt IS NULL OR score > nxt)),
 o AS (SELECT p.function_id AS producer, b.cleanup, round(least(0.99, 0.55 + CASE WHEN return_depth >= 2 THEN 0.15 ELSE 0.1 END::DOUBLE + b.score), 6) AS confidence FROM roles p JOIN b ON b.resource_type = p.resource_type WHERE is_producer)
 SELECT producer, cleanup, CASE WHEN cleanup IN (SELECT callee FROM @calls) THEN 'ordered' ELSE 'absent' END AS state FROM o WHERE confidence >= 0.8""")
-register("j23_manifest_check", manifest_check, "WITH c AS (SELECT callee AS item FROM @calls WHERE caller % 200 = 0) SELECT item, 'duplicate' AS problem FROM c GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT item, 'unknown' FROM c WHERE item NOT IN (SELECT function_id FROM @functions WHERE defined)")
+register("j23_manifest_check", manifest_check, "WITH c AS (SELECT callee AS item FROM @calls) SELECT item, 'duplicate' AS problem FROM c GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT item, 'unknown' FROM c WHERE item NOT IN (SELECT function_id FROM @functions WHERE defined)")
 register("j25_family_contracts", family_contracts, "WITH c AS (SELECT DISTINCT split_part(name, '_', 1) AS family, return_type FROM @functions) SELECT function_id, min(family) AS family FROM @functions f JOIN c ON c.return_type = f.return_type AND starts_with(f.name, c.family) GROUP BY 1 HAVING count(*) = 1")
 register("j27_input_sources", lambda t: t.calls.where("role = 'producer'").select("caller", "binding", F.col("callee").alias("source")).join(t.calls.where("role = 'consumer' AND callee % 9 = 0").select("caller", "binding").distinct(), ["caller", "binding"]).select("caller", "source").distinct(), "SELECT DISTINCT p.caller, p.callee AS source FROM @calls p JOIN @calls c ON c.caller = p.caller AND c.binding = p.binding AND c.role = 'consumer' AND c.callee % 9 = 0 WHERE p.role = 'producer'")
-register("g18_lifecycle_closure", lifecycle_closure, f"WITH {q_traces.PAIRS} SELECT DISTINCT producer AS src, cleanup AS dst FROM pairs WHERE caller % 50 = 0 AND producer <> cleanup AND NOT EXISTS (SELECT 1 FROM @edges e WHERE e.src = producer AND e.dst = cleanup)")
-register("g9_taint_propagation", lambda t: G.reachable(t.edges.where("label % 3 = 0").select("src", "dst").distinct(), t.edges.where("label % 3 = 0").select(F.when(F.col("inferred"), 1).otherwise(2).alias("anchor"), F.col("src").alias("node")).distinct()).select(F.when(F.col("anchor") == 1, "data").otherwise("size").alias("label"), F.col("node").alias("variable")),
-         "WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM @edges WHERE label % 3 = 0), r(label, variable) AS (SELECT DISTINCT CASE WHEN inferred THEN 'data' ELSE 'size' END, e.dst FROM @edges x JOIN e ON e.src = x.src WHERE x.label % 3 = 0 UNION SELECT r.label, e.dst FROM r JOIN e ON e.src = r.variable) SELECT * FROM r")
+register("g18_lifecycle_closure", lifecycle_closure, f"WITH {q_traces.PAIRS} SELECT DISTINCT producer AS src, cleanup AS dst FROM pairs WHERE producer <> cleanup AND NOT EXISTS (SELECT 1 FROM @all_edges e WHERE e.src = producer AND e.dst = cleanup)")
+register("g9_taint_propagation", lambda t: G.reachable(t.edges.select("src", "dst").distinct(), t.edges.select(F.when(F.col("inferred"), 1).otherwise(2).alias("anchor"), F.col("src").alias("node")).distinct()).select(F.when(F.col("anchor") == 1, "data").otherwise("size").alias("label"), F.col("node").alias("variable")),
+         "WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM @edges), r(label, variable) AS (SELECT DISTINCT CASE WHEN inferred THEN 'data' ELSE 'size' END, e.dst FROM @edges x JOIN e ON e.src = x.src UNION SELECT r.label, e.dst FROM r JOIN e ON e.src = r.variable) SELECT * FROM r")
 register("g11_typedef_chains", typedef_chains, "WITH RECURSIVE s AS (SELECT src, min(dst) AS dst FROM @edges GROUP BY 1), r(node, at_, hops, path) AS (SELECT src, dst, 1::BIGINT, [src, dst] FROM s UNION ALL SELECT r.node, s.dst, hops + 1, list_append(path, s.dst) FROM r JOIN s ON s.src = r.at_ WHERE NOT list_contains(path, s.dst)) SELECT n.src AS node, e.at_ AS \"end\", e.hops FROM s n LEFT JOIN (SELECT node, at_, hops FROM r WHERE at_ NOT IN (SELECT src FROM s)) e ON e.node = n.src")
-register("g13_allocation_origins", lambda t: G.reachable(q_graph.trav(t), q_graph.starts(t), t.functions.where("name LIKE 'read%'").select(F.col("function_id").alias("node")), rounds=15).join(t.functions.where("name LIKE 'create%' OR name LIKE 'init%'").select(F.col("function_id").alias("node")), "node", "left_semi").groupBy("anchor").agg(F.count("*").alias("origins"), F.min("depth").alias("nearest")),
-         f"WITH RECURSIVE {q_graph.TRAV}, walk(anchor, node, depth) AS (SELECT DISTINCT anchor, dst, 1 FROM @anchors JOIN trav ON src = anchor UNION SELECT r.anchor, e.dst, depth + 1 FROM walk r JOIN trav e ON e.src = r.node WHERE depth < 16 AND r.node NOT IN (SELECT function_id FROM @functions WHERE name LIKE 'read%')) SELECT anchor, count(DISTINCT node) AS origins, min(depth)::INT AS nearest FROM walk WHERE node IN (SELECT function_id FROM @functions WHERE name LIKE 'create%' OR name LIKE 'init%') GROUP BY 1")
+register("g13_allocation_origins", lambda t: G.reachable(q_graph.trav(t), q_graph.starts(t), t.graph_functions.where("name LIKE 'read%'").select(F.col("function_id").alias("node")), rounds=15).join(t.graph_functions.where("name LIKE 'create%' OR name LIKE 'init%'").select(F.col("function_id").alias("node")), "node", "left_semi").groupBy("anchor").agg(F.count("*").alias("origins"), F.min("depth").alias("nearest")),
+         f"WITH RECURSIVE {q_graph.TRAV}, walk(anchor, node, depth) AS (SELECT DISTINCT anchor, dst, 1 FROM @anchors JOIN trav ON src = anchor UNION SELECT r.anchor, e.dst, depth + 1 FROM walk r JOIN trav e ON e.src = r.node WHERE depth < 16 AND r.node NOT IN (SELECT function_id FROM @graph_functions WHERE name LIKE 'read%')) SELECT anchor, count(DISTINCT node) AS origins, min(depth)::INT AS nearest FROM walk WHERE node IN (SELECT function_id FROM @graph_functions WHERE name LIKE 'create%' OR name LIKE 'init%') GROUP BY 1")
 register("u7_immutable_fields", immutable_fields, "WITH l AS (SELECT *, lag(stage) OVER w AS s, lag(status) OVER w AS u FROM @history WINDOW w AS (PARTITION BY run ORDER BY seq)) SELECT run, seq, 'stage' AS field FROM l WHERE s IS NOT NULL AND stage <> s UNION ALL SELECT run, seq, 'status' FROM l WHERE s IS NOT NULL AND status <> u")
 register("u8_missing_operations", lambda t: t.params.select("name").distinct().exceptAll(t.params.where("depth = 0").select("name").distinct()).withColumn("kind", F.lit("missing")).unionByName(t.params.where("depth > 0 AND is_const").select("name").distinct().exceptAll(t.params.where("is_struct").select("name").distinct()).withColumn("kind", F.lit("invented"))),
          "SELECT name, 'missing' AS kind FROM (SELECT DISTINCT name FROM @params EXCEPT SELECT name FROM @params WHERE depth = 0) a UNION ALL SELECT name, 'invented' FROM (SELECT name FROM @params WHERE depth > 0 AND is_const EXCEPT SELECT name FROM @params WHERE is_struct) b")

@@ -1,35 +1,31 @@
-"""Twins over all orders of the queries whose relations or SQL keep one order in 20 to 500."""
+"""Twins of the graph queries over one graph of all orders, in which every part is a node; the queries themselves keep a graph for each project."""
+
+import re
 
 from campaignlens.plans import q_graph, q_io, q_more, q_scoring, q_telemetry, q_text, q_traces  # noqa: F401
 from campaignlens.plans.registry import GIVEN, register
 from campaignlens.plans.tables import Tables
 
-WHOLE = {"edges": "all_edges", "anchors": "all_anchors"}
+WHOLE = {"edges": "all_edges", "anchors": "all_anchors", "null_nodes": "all_null_nodes", "graph_functions": "functions"}
+#: These read all orders either way.
+EQUAL = ("g18_lifecycle_closure", "j23_manifest_check", "s6_coverage_export", "j12_consumable_patterns")
+#: Their SQL is too slow where nearly every node reaches every other: a test has their breadth-first search by hand.
+BY_HAND = ("g6_triplet_extraction", "g7_breadth_first_order", "g8_call_depth", "m7_deep_reachability")
 
 
 class Whole(Tables):
-    """Relations of a folder, its edges and anchors from all orders."""
+    """Relations of a folder, its graph that of all orders."""
 
     def __getattr__(self, name):
         return super().__getattr__(WHOLE.get(name, name))
 
 
-#: Their plan takes the condition, their SQL holds it.
-CONDITIONS = {"g18_lifecycle_closure": (q_more.lifecycle_closure, "caller % 50 = 0 AND "), "j23_manifest_check": (q_more.manifest_check, " WHERE caller % 200 = 0"), "s6_coverage_export": (q_io.exports, " WHERE run % 20 = 0")}
-#: Their SQL walks every path up to 30 edges, which is too much over all orders: a test has their breadth-first search by hand.
-BY_HAND = ("g6_triplet_extraction", "g7_breadth_first_order", "g8_call_depth", "m7_deep_reachability")
-
-
 def twin(name):
     plan, sql = GIVEN[name]
-    if name in CONDITIONS:
-        given, text = CONDITIONS[name]
-        plan, sql = lambda t: given(t, "true"), sql.replace(text, "")
-    for few, every in WHOLE.items():
-        sql = sql.replace(f"@{few}", f"@{every}")
-    register(f"{name}_whole", lambda t: plan(Whole(t.spark, t.sf_dir)), None if name in BY_HAND else sql)
+    text = sql and re.sub(r"@(\w+)", lambda m: "@" + WHOLE.get(m[1], m[1]), sql)
+    register(f"{name}_whole", lambda t: plan(Whole(t.spark, t.sf_dir)), None if name in BY_HAND else text)
 
 
 for _name, (_, _sql) in list(GIVEN.items()):
-    if _name in CONDITIONS or _sql and any(f"@{r}" in _sql for r in WHOLE):
+    if _name in EQUAL or _sql and any(re.search(rf"@{r}\b", _sql) for r in WHOLE):
         twin(_name)

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+#: Every twenty order keys are a project with a graph of its own; a node is a part in a project.
+NODE = "CAST(floor(l_orderkey / 20) AS BIGINT) * 1000000000 + l_partkey"
 RELATIONS = {
     "functions": """SELECT p_partkey AS function_id,
   concat(CASE p_size % 8 WHEN 0 THEN 'create' WHEN 1 THEN 'free' WHEN 2 THEN 'read' WHEN 3 THEN 'parse' WHEN 4 THEN 'init' WHEN 5 THEN 'destroy' WHEN 6 THEN 'set' ELSE 'path' END, '_', lower(p_type)) AS name,
@@ -25,10 +27,12 @@ RELATIONS = {
     "calls": f"""SELECT l_orderkey AS caller, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) - 1 AS INT) AS ordinal, l_partkey AS callee, l_suppkey % 5 AS binding,
   CASE l_returnflag WHEN 'A' THEN 'producer' WHEN 'N' THEN 'consumer' ELSE 'cleanup' END AS role,
   CASE WHEN l_tax > 0.06 THEN 'if (p == NULL)' WHEN l_tax > 0.03 THEN 'len > 0' END AS condition, l_discount > 0.08 AS exit_path FROM {{lineitem}}""",
-    "edges": f"""SELECT src, dst, label, inferred FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) AS dst, l_suppkey AS label, l_discount > 0.05 AS inferred
-  FROM {{lineitem}} WHERE l_orderkey % 50 = 0) e WHERE dst IS NOT NULL AND src <> dst""",
-    "null_nodes": "SELECT p_partkey AS node FROM {part} WHERE p_size = 50",
-    "anchors": "SELECT DISTINCT l_partkey AS anchor FROM {lineitem} WHERE l_orderkey % 500 = 0",
+    "edges": f"""SELECT src, dst, label, inferred FROM (SELECT {NODE} AS src, lead({NODE}) OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) AS dst, l_suppkey AS label, l_discount > 0.05 AS inferred
+  FROM {{lineitem}}) e WHERE dst IS NOT NULL AND src <> dst""",
+    "graph_functions": f"""SELECT DISTINCT {NODE} AS function_id, p_size % 5 <> 0 AS defined, p_size % 7 = 0 AS is_static, p_type AS resource_type,
+  CASE p_size % 8 WHEN 0 THEN 'create' WHEN 1 THEN 'free' WHEN 2 THEN 'read' WHEN 3 THEN 'parse' WHEN 4 THEN 'init' WHEN 5 THEN 'destroy' WHEN 6 THEN 'set' ELSE 'path' END AS name FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey""",
+    "null_nodes": f"SELECT DISTINCT {NODE} AS node FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey WHERE p_size = 50",
+    "anchors": f"SELECT DISTINCT anchor FROM (SELECT {NODE} AS anchor, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) AS i FROM {{lineitem}}) e WHERE i = 1",
     "votes": """SELECT user_id AS item, event_id AS sample, CAST(event_id % 3 AS INT) AS variant, event_type AS kind, event_id % 4 <> 0 AS positive, event_id % 7 <> 0 AS ok, value / 500 AS confidence,
   CASE event_type WHEN 'view' THEN 'binary' WHEN 'click' THEN 'text' WHEN 'error' THEN 'filename' WHEN 'purchase' THEN 'binary' ELSE 'other' END AS answer FROM {events}""",
     "metrics": """SELECT user_id AS candidate, event_type AS metric, CASE WHEN event_id % 10 < 7 THEN 'measured' WHEN event_id % 10 = 7 THEN 'error' ELSE 'unavailable' END AS status,
@@ -49,9 +53,10 @@ RELATIONS = {
     "html_pages": "SELECT page_id AS id, html AS text FROM {pages} WHERE html IS NOT NULL",
     "usage": "SELECT conv_id AS candidate, turn AS attempt, role, length(text) AS tokens FROM {conversations}",
 }
-#: The same without their choice of orders.
-RELATIONS["all_edges"] = RELATIONS["edges"].replace(" WHERE l_orderkey % 50 = 0", "")
-RELATIONS["all_anchors"] = RELATIONS["anchors"].replace(" WHERE l_orderkey % 500 = 0", "")
+#: One project of all orders: parts are nodes, and any part is an anchor.
+RELATIONS["all_edges"] = RELATIONS["edges"].replace(NODE, "l_partkey")
+RELATIONS["all_anchors"] = "SELECT DISTINCT l_partkey AS anchor FROM {lineitem}"
+RELATIONS["all_null_nodes"] = "SELECT p_partkey AS node FROM {part} WHERE p_size = 50"
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
