@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from campaignlens.llm import neighbours, queries
@@ -48,6 +49,28 @@ def test_ties_and_unusable_vectors(spark):
     nan = float("nan")
     rows = [(i, [1.0, 2.0]) for i in range(1, 40)] + [(40, None), (60, [0.0, 0.0]), (80, [nan, 1.0]), (100, [1.0, None]), (120, [float("inf"), 0.0]), (140, [1.0]), (None, [1.0, 2.0]), (160, [2.0, -1.0]), (1, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("Id", F.lit("x")).repartition(4)
-    got = neighbours.nearest_neighbours(df, F.col("id") % 20 == 0, k=5).orderBy("query_id", "rank").collect()
+    got = neighbours.nearest_neighbours(df, F.col("id") % 20 == 0, k=5, length=2).orderBy("query_id", "rank").collect()
     assert [(r.query_id, r.id, r.score) for r in got] == [(20, i, 5.0) for i in range(1, 6)] + [(160, i, 0.0) for i in range(1, 6)]
     assert neighbours.nearest_neighbours(df.limit(0), F.col("id") % 20 == 0).count() == 0
+    with pytest.raises(ValueError, match="length"):
+        neighbours.nearest_neighbours(df, F.col("id") % 20 == 0)
+
+
+def test_many_cells_and_blocks(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.2, (60, 16)) for c in rng.normal(0, 3, (20, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    want = brute(list(range(len(x))), x, list(range(0, len(x), 7)), 10)
+    got = {}
+    for r in neighbours.nearest_neighbours(df, F.col("id") % 7 == 0, k=10, cell_rows=50, block_rows=5, sample_rows=300).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert set(got) == set(want) and np.mean([len(set(got[q]) & {i for _, i in want[q]}) / 10 for q in want]) >= 0.9
+
+
+def test_cells_hold_all_and_split_evenly():
+    rng = np.random.default_rng(3)
+    points = np.concatenate([rng.normal(0, 1, (4000, 3)), np.ones((500, 3))])
+    cells = neighbours.Cells(points[::5], 16)
+    sizes = np.bincount(cells.of(points), minlength=cells.count)
+    assert sizes.sum() == 4500 and cells.count <= 16 and sizes.max() < 1500
+    assert neighbours.Cells(np.zeros((0, 3)), 4).of(points).max() == 0
