@@ -29,8 +29,8 @@ SAMPLES = BANDS * ROWS
 #: Candidates whose sketches differ in more bits than similarity 0.25 below the threshold lets expect go no further;
 #: for a link of similarity 0.8 the chance of that is 1.2e-7 (exact for independent samples, see the tests).
 MARGIN = 0.25
-#: Where many candidates are left, wider sketches tell them apart: more samples, and so a smaller margin: the chance is 1.0e-8.
-WIDE_SAMPLES, WIDE_BITS, WIDE_MARGIN = 1024, 4096, 0.08
+#: Where many candidates are left, wider sketches tell them apart: more samples, and so a smaller margin: the chance is 1.9e-7.
+WIDE_SAMPLES, WIDE_BITS, WIDE_MARGIN = 2048, 8192, 0.05
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = np.random.default_rng(20_240_229)
 BYTE = SEED.integers(0, 2**64, 256, np.uint64)
