@@ -253,18 +253,20 @@ def near_duplicates(
     open_places = still_apart(shared, roots)
     if not open_places.isEmpty():
         wide = materialize(widely_sketched(of_ids(open_places.select(F.col("rep").alias("id")).distinct()), "text", size).dropDuplicates(["id"]).select(F.col("id").alias("rep"), "wide"), "wide")
-        places = materialize(open_places.join(info.join(wide, "rep"), "rep"), "places")
-        minor = places.where("root <> main").select("key", "all", "most", *[F.col(c).alias("x" + c) for c in ("rep", "root", "n", "sketch", "wide")])
+        places = materialize(open_places.join(classes.select("rep", "n", "bands", "sketch").join(wide, "rep"), "rep"), "places")
+        minor = places.where("root <> main").select("key", "all", "most", *[F.col(c).alias("x" + c) for c in ("rep", "root", "n", "bands", "sketch", "wide")])
         alike = (
             (F.col("root") != F.col("xroot"))
             & ((F.col("root") == F.col("main")) | (F.col("rep") < F.col("xrep")))
             & like_sizes(F.col("n"), F.col("xn"))
             & (differing_bits(F.col("sketch"), F.col("xsketch")) <= bits_at(percent / 100 - MARGIN))
             & (differing_bits(F.col("wide"), F.col("xwide")) <= bits_at(percent / 100 - WIDE_MARGIN, WIDE_SAMPLES, WIDE_BITS))
+            # each pair in the first bucket that it shares
+            & (F.element_at(F.filter("bands", lambda k: F.array_contains("xbands", k)), 1) == F.col("key"))
         )
         left, right = gridded(places, minor, cell_pairs)
         pairs = left.join(right, ["key", "row", "column"]).where(alike)
-        found = compared(pairs.select(F.col("rep").alias("a"), F.col("xrep").alias("b"), F.col("n").alias("na"), F.col("xn").alias("nb")).distinct())
+        found = compared(pairs.select(F.col("rep").alias("a"), F.col("xrep").alias("b"), F.col("n").alias("na"), F.col("xn").alias("nb")))
         discard(wide, places)
         roots = star_roots(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
     discard(open_places, shared)
