@@ -113,3 +113,45 @@ def merge_fields(comparisons: DataFrame) -> DataFrame:
     side = lambda cond, name: comparisons.where(cond).groupBy("handler", "at").agg(F.min("value").alias(name))
     rows = side("is_literal", "guard").join(side("NOT is_literal", "load"), ["handler", "at"], "full")
     return rows.select("handler", "at", F.when(F.col("load").isNotNull(), "load").otherwise("magic").alias("role"), F.coalesce("load", "guard").alias("value"))
+
+
+# Pulses that report executions.
+PULSES = ("INITED", "NEW", "REDUCE", "pulse", "DONE")
+
+
+def smoke_policy(runs: DataFrame) -> DataFrame:
+    """(run, status, reason): the ordered decision over a run's summary.
+
+    ``runs`` is (run, start_error, timed_out, classification, return_code, initialized, executions, final_stats); null flags count as
+    false, null executions as none, a null return code as unknown. The first case that holds decides. A crash of the target passes with limitations if inputs ran before it.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    ran, kind = F.coalesce("executions", F.lit(0)) > 0, F.coalesce("classification", F.lit("none"))
+    target = kind == "potential_target_crash"
+    cases = [
+        (F.col("start_error").isNotNull(), "unavailable", "start_error"),
+        (yes("timed_out"), "failed", "wall_timeout"),
+        (kind == "generated_harness_leak", "failed", "harness_leak"),
+        (kind == "harness_crash", "failed", "harness_crash"),
+        (target & ~yes("initialized"), "failed", "target_crash_before_initialization"),
+        (target & ~ran, "failed", "target_crash_before_execution"),
+        (target, "passed_with_limitations", "target_crash"),
+        (F.coalesce("return_code", F.lit(0)) != 0, "failed", "unattributed_exit"),
+        (~yes("initialized"), "failed", "not_initialized"),
+        (~ran, "failed", "no_executions"),
+        (~yes("final_stats"), "failed", "no_final_statistics"),
+    ]
+    verdict = F.coalesce(*[F.when(cond, F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))) for cond, status, reason in cases], F.struct(F.lit("passed").alias("status"), F.lit("").alias("reason")))
+    return runs.select("run", verdict.alias("v")).select("run", "v.status", "v.reason")
+
+
+def run_summaries(lines: DataFrame, frames: DataFrame) -> DataFrame:
+    """What ``smoke_policy`` reads, from a run's log lines and crash frames; an error line stands for a return code of 1. The attribution of a leak in both is that of its frames."""
+    count = F.nullif(F.regexp_extract("line", rf"^#(\d+)\s+(?:{'|'.join(PULSES)})\b", 1), F.lit("")).cast("long")
+    done = F.nullif(F.regexp_extract("line", r"stat::number_of_executed_units:\s*(\d+)", 1), F.lit("")).cast("long")
+    seen = lambda pattern: F.bool_or(F.col("line").rlike(pattern))
+    rows = lines.groupBy("run").agg(
+        seen(r"ALARM: working on the last Unit").alias("timed_out"), seen("^INFO:|INITED").alias("initialized"), seen("stat::").alias("final_stats"), F.bool_or(F.col("line").contains("ERROR")).cast("int").alias("return_code"),
+        F.coalesce(F.max_by(done, F.when(done.isNotNull(), F.col("line_no"))), F.max(count)).alias("executions"),
+    )
+    return rows.join(attribute_crashes(frames).withColumnRenamed("verdict", "classification"), "run", "left").withColumn("start_error", F.lit(None).cast("string"))

@@ -33,6 +33,9 @@ RELATIONS = {
   CASE p_size % 8 WHEN 0 THEN 'create' WHEN 1 THEN 'free' WHEN 2 THEN 'read' WHEN 3 THEN 'parse' WHEN 4 THEN 'init' WHEN 5 THEN 'destroy' WHEN 6 THEN 'set' ELSE 'path' END AS name FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey""",
     "null_nodes": f"SELECT DISTINCT {NODE} AS node FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey WHERE p_size = 50",
     "anchors": f"SELECT DISTINCT anchor FROM (SELECT {NODE} AS anchor, row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) AS i FROM {{lineitem}}) e WHERE i = 1",
+    "header_names": """SELECT l_orderkey AS header, CAST(floor(l_orderkey / 20) AS BIGINT) * 1000000000 + l_suppkey AS name, l_linenumber = 1 AS exported, l_linenumber = 1 AND l_tax > 0.07 AS unsafe FROM {lineitem}""",
+    "call_flows": f"""SELECT l_orderkey AS caller, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) - 1 AS INT) AS ordinal, l_partkey AS function, l_suppkey % 5 AS src,
+  CASE WHEN l_returnflag <> 'R' THEN lead(l_suppkey % 5) OVER (PARTITION BY l_orderkey ORDER BY {ORDER}) END AS dst, l_returnflag = 'R' AS is_cleanup, l_returnflag = 'R' AND l_discount > 0.08 AS owned FROM {{lineitem}}""",
     "votes": """SELECT user_id AS item, event_id AS sample, CAST(event_id % 3 AS INT) AS variant, event_type AS kind, event_id % 4 <> 0 AS positive, event_id % 7 <> 0 AS ok, value / 500 AS confidence,
   CASE event_type WHEN 'view' THEN 'binary' WHEN 'click' THEN 'text' WHEN 'error' THEN 'filename' WHEN 'purchase' THEN 'binary' ELSE 'other' END AS answer FROM {events}""",
     "metrics": """SELECT user_id AS candidate, event_type AS metric, CASE WHEN event_id % 10 < 7 THEN 'measured' WHEN event_id % 10 = 7 THEN 'error' ELSE 'unavailable' END AS status,
