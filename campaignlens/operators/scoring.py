@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -163,3 +167,30 @@ def greedy_triplets(items: DataFrame, functions: DataFrame, structures: DataFram
         chosen.append((position, got[0]["item"], round(float(got[0]["benefit"]), 6)))
         left -= got[0]["calls"]
     return items.sparkSession.createDataFrame(chosen, f"position int, item {items.schema['item'].dataType.simpleString()}, benefit double")
+
+
+def evaluation_report(candidates: DataFrame, evaluators: dict[str, Callable[[], DataFrame]], known: tuple[str, ...]) -> DataFrame:
+    """(candidate, metric, status, score) for each of ``candidates`` and ``known`` metrics.
+
+    An evaluator gives (candidate, score). A metric without one is not_implemented; one that can't be planned, or gives other columns, is an
+    error for all candidates, and the others go on; a candidate without a score is unavailable. Of several scores the least counts. Unknown metrics are refused.
+    """
+    if unknown := set(evaluators) - set(known):
+        raise ValueError(f"unknown metrics: {sorted(unknown)}")
+    ids, parts, flat = candidates.select("candidate").distinct(), [], {}
+    for metric in known:
+        try:
+            scores = evaluators[metric]().groupBy("candidate").agg(F.min("score").cast("double").alias("score")) if metric in evaluators else None
+        except Exception as error:  # an evaluator is the caller's code: whatever it raises is its own metric's error
+            flat[metric] = "error"
+            logging.getLogger(__name__).warning("evaluator of %s failed: %s", metric, type(error).__name__)
+            continue
+        if scores is None:
+            flat[metric] = "not_implemented"
+        else:
+            parts.append(scores.where("score IS NOT NULL").select("candidate", F.lit(metric).alias("metric"), "score"))
+    rest = ids.select("candidate", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(flat.get(m, "unavailable")).alias("otherwise")) for m in known])).alias("m")).select("candidate", "m.*")
+    if not parts:
+        return rest.select("candidate", "metric", F.col("otherwise").alias("status"), F.lit(None).cast("double").alias("score"))
+    joined = rest.join(reduce(DataFrame.unionByName, parts), ["candidate", "metric"], "left")
+    return joined.select("candidate", "metric", F.when(F.col("score").isNotNull(), "measured").otherwise(F.col("otherwise")).alias("status"), "score")
