@@ -200,3 +200,11 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in BASE_KINDS], digest(spans_text(base)).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of all documents, linked within three bits."""
+    from campaignlens.llm.simhash import simhash_duplicates
+
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
