@@ -208,3 +208,40 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from campaignlens.llm.simhash import simhash_duplicates
 
     return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers in every document, aligned and counted."""
+    import public_tokenizers
+
+    from campaignlens.llm.crosstok import align_corpus
+
+    return align_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents of the highest scores for each benchmark item."""
+    from campaignlens.llm.lexical import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op11_ranked_search"] = r"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+c AS (SELECT count(*) AS N, sum(n)::BIGINT AS L FROM n),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+s AS (
+  SELECT item_id, doc_id, sum(floor(1000 * ln((2 * c.N + 2)::DOUBLE / (2 * df.df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n.n * c.N) // c.L))))::BIGINT AS score
+  FROM q JOIN df USING (term) JOIN tf USING (term) JOIN n USING (doc_id), c GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50
+"""
