@@ -2,7 +2,7 @@
 
 Both tokenizers encode the whole text. Where a token of either that is marked with a space begins at the same byte, all tokens
 before end there on both sides: these anchors cut a document into windows of token ids. How a window's tokens align depends on
-its ids alone, so it is worked out once for each pair of id tuples and looked up after that.
+its ids alone, so it is worked out once for each pair of id tuples of a batch of texts, and looked up for the others.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from campaignlens.llm.bpe import KEPT_WORDS, Codes, PairIndexTokenizer, gather
+from campaignlens.llm.bpe import Codes, PairIndexTokenizer, gather
 from campaignlens.llm.common import append_columns, discard, materialize, small_batches
 
-#: Windows of more tokens than this are aligned each time, and a worker that knows more than KEPT windows between batches forgets them.
-LONG, KEPT = 64, 1_000_000
+#: Windows are looked up among those of so many characters of text. A worker that knows more words of the piece model than these between batches forgets them.
+BATCH, KEPT_PIECES = 1_500_000, 200_000
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class ByteTokenizer(PairIndexTokenizer):
@@ -62,7 +63,7 @@ class PieceTokenizer:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_word:
             return [np.array(x, np.int64) for x in self._full(texts)]
-        if len(self.codes) > KEPT_WORDS:
+        if len(self.codes) > KEPT_PIECES:
             self.codes, self.ids, self.counts = Codes(), self.ids[:0], self.counts[:0]
         known, code = len(self.codes), self.codes.__getitem__
         docs = []
@@ -72,7 +73,7 @@ class PieceTokenizer:
         # the space before a word is the one that the model puts there; of a word that is one space nothing is left
         words = list(islice(self.codes, known, None))
         new = [[self.space] if len(w) == 1 else x for w, x in zip(words, self._full([w[1:] for w in words]))]
-        self.ids = np.concatenate([self.ids, *[np.array(x, np.int64) for x in new]])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(new), np.int64)])
         self.counts = np.concatenate([self.counts, np.array([len(x) for x in new], np.int64)])
         first = np.cumsum(self.counts) - self.counts
         return [gather(self.ids, first, self.counts, doc) for doc in docs]
@@ -82,76 +83,116 @@ def spelling(coder, ids: np.ndarray) -> bytes:
     return gather(coder.bytes, coder.byte_first, coder.byte_counts, ids).tobytes()
 
 
-def ends_alike(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of positions whose (ascending) ends are equal."""
-    low, high = np.searchsorted(ends_b, ends_a, "left"), np.searchsorted(ends_b, ends_a, "right")
-    n = high - low
-    return np.repeat(np.arange(len(ends_a)), n), np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+def numbered(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each row of ``counts`` items."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def distinct_windows(sides: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows whose ids are rows of each side (ids, counts): one of each pair of id tuples, and for every window which of these it is.
+
+    Windows are brought together by a hash; that their ids are the same is then verified.
+    """
+    n = len(sides[0][1])
+    hashed = np.zeros(n, np.uint64)
+    for k, (ids, counts) in enumerate(sides):
+        x = (ids.astype(np.uint64) + np.uint64(1)) * MIX + numbered(counts).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03 + 2 * k)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        hashed += np.add.reduceat(x ^ (x >> np.uint64(32)), np.cumsum(counts) - counts) * np.uint64(2 * k + 1)
+    _, chosen, which = np.unique(hashed, return_index=True, return_inverse=True)
+    for ids, counts in sides:
+        like = chosen[which]
+        if not ((counts[like] == counts).all() and (gather(ids, np.cumsum(counts) - counts, counts, like) == ids).all()):
+            return np.arange(n), np.arange(n)  # two tuples of one hash: each window by itself
+    return chosen, which
 
 
 class Aligner:
     def __init__(self, byte_path: str, piece_path: str):
         self.a, self.b = ByteTokenizer(byte_path), PieceTokenizer(piece_path)
         self.width = len(self.b.byte_counts)
-        self.memo: dict = {}
+        digits = [str(i).encode() for i in range(max(self.width, len(self.a.byte_counts)))]
+        self.digits, self.digit_counts = np.frombuffer(b"".join(digits), np.uint8), np.array([*map(len, digits)])
+        self.digit_first = np.cumsum(self.digit_counts) - self.digit_counts
         self.asked = self.made = 0
 
-    def window(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[str, int, np.ndarray]:
-        """Groups as text, how many there are, and the links as ``a * width + b``, of ids that spell the same bytes."""
-        self.made += 1
-        ends_a, ends_b = np.cumsum(self.a.byte_counts[ids_a]), np.cumsum(self.b.byte_counts[ids_b])
-        at_a, at_b = ends_alike(ends_a, ends_b)
-        cuts = np.unique(ends_a[at_a])
-        last_a, last_b = np.searchsorted(ends_a, cuts, "right"), np.searchsorted(ends_b, cuts, "right")
-        a, b = ids_a.tolist(), ids_b.tolist()
-        groups, i, j = [], 0, 0
-        for x, y in zip(last_a.tolist(), last_b.tolist()):
-            groups.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-            i, j = x, y
-        return ";".join(groups), len(groups), ids_a[at_a] * self.width + ids_b[at_b]
-
-    def align(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[str, int, np.ndarray]:
-        """The same for a document, window by window."""
-        ends_a, ends_b = np.cumsum(self.a.byte_counts[ids_a]), np.cumsum(self.b.byte_counts[ids_b])
-        begin_a = np.flatnonzero(self.a.marked[ids_a])
-        begin_b = np.flatnonzero(self.b.marked[ids_b])
-        start_a, start_b = (ends_a - self.a.byte_counts[ids_a])[begin_a], (ends_b - self.b.byte_counts[ids_b])[begin_b]
-        at = np.searchsorted(start_b, start_a)
-        shared = at < len(start_b)
-        shared[shared] = start_b[at[shared]] == start_a[shared]
-        cut_a, cut_b = begin_a[shared], begin_b[at[shared]]
-        if not len(cut_a) or cut_a[0] or cut_b[0]:
-            cut_a, cut_b = np.append(0, cut_a), np.append(0, cut_b)
-        raw_a, raw_b = ids_a.astype("<u4").tobytes(), ids_b.astype("<u4").tobytes()
-        # ids of four bytes; all tokens of the other side lie in the same window
-        lines_a, lines_b = [*(4 * cut_a).tolist(), len(raw_a)], [*(4 * cut_b).tolist(), len(raw_b)]
-        memo, found = self.memo, []
-        self.asked += len(cut_a)
-        for i, k, j, m in zip(lines_a, lines_a[1:], lines_b, lines_b[1:]):
-            key = raw_a[i:k], raw_b[j:m]
-            known = memo.get(key)
-            if known is None:
-                known = self.window(ids_a[i // 4 : k // 4], ids_b[j // 4 : m // 4])
-                if k - i + m - j <= 4 * LONG:
-                    memo[key] = known
-            found.append(known)
-        texts, counts, links = zip(*found)
-        return ";".join(texts), sum(counts), np.concatenate(links)
+    def windows(self, docs_a: list[np.ndarray], docs_b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where windows begin in the ids of all documents one after another, on both sides, and how many each document has."""
+        ids_a, ids_b = np.concatenate(docs_a), np.concatenate(docs_b)
+        start_a, start_b = (np.cumsum(n) - n for n in (self.a.byte_counts[ids_a], self.b.byte_counts[ids_b]))
+        anchor_a, anchor_b = self.a.marked[ids_a], self.b.marked[ids_b]
+        first_a = np.cumsum([0, *map(len, docs_a)])[:-1]
+        anchor_a[first_a] = anchor_b[np.cumsum([0, *map(len, docs_b)])[:-1]] = True
+        begin_a, begin_b = np.flatnonzero(anchor_a), np.flatnonzero(anchor_b)
+        at = np.searchsorted(start_b[begin_b], start_a[begin_a])
+        shared = np.append(start_b[begin_b], -1)[at] == start_a[begin_a]
+        begin_a, begin_b = begin_a[shared], begin_b[at[shared]]
+        return begin_a, begin_b, np.diff(np.append(np.searchsorted(begin_a, first_a), len(begin_a)))
+
+    def aligned(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of ids that spell the same bytes: which of A's end a group, the links ``a * width + b``, the groups as text with ``;`` after each, and how long each one's text is.
+
+        No token is empty, so at each shared end one of A is linked with one of B.
+        """
+        end_a, end_b = np.cumsum(self.a.byte_counts[ids_a]), np.cumsum(self.b.byte_counts[ids_b])
+        at = np.minimum(np.searchsorted(end_b, end_a), len(end_b) - 1)
+        last_a = end_b[at] == end_a
+        last_b = np.zeros(len(ids_b), bool)
+        last_b[at[last_a]] = True
+        group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
+        sizes_a, sizes_b = np.bincount(group_a), np.bincount(group_b)
+        place_a = np.arange(len(ids_a)) + (np.cumsum(sizes_b) - sizes_b)[group_a]
+        place_b = np.arange(len(ids_b)) + np.cumsum(sizes_a)[group_b]
+        tokens, marks = np.empty(len(ids_a) + len(ids_b), np.int64), np.empty(len(ids_a) + len(ids_b), np.uint8)
+        tokens[place_a], tokens[place_b] = ids_a, ids_b
+        marks[place_a], marks[place_b] = np.where(last_a, ord("|"), ord(",")), np.where(last_b, ord(";"), ord(","))
+        n = self.digit_counts[tokens]
+        ends = np.cumsum(n + 1)
+        text = np.empty(int(ends[-1]), np.uint8)
+        text[ends - 1] = marks
+        written = np.ones(len(text), bool)
+        written[ends - 1] = False
+        text[written] = gather(self.digits, self.digit_first, self.digit_counts, tokens)
+        return last_a, ids_a[last_a] * self.width + ids_b[last_b], text, np.diff(ends[place_b[last_b]], prepend=0)
+
+    def align(self, docs_a: list[np.ndarray], docs_b: list[np.ndarray]) -> list[tuple]:
+        """(groups, text, links) of each document; each distinct window is aligned once."""
+        begin_a, begin_b, of_doc = self.windows(docs_a, docs_b)
+        ids_a, ids_b = np.concatenate(docs_a), np.concatenate(docs_b)
+        counts_a, counts_b = np.diff(np.append(begin_a, len(ids_a))), np.diff(np.append(begin_b, len(ids_b)))
+        chosen, which = distinct_windows([(ids_a, counts_a), (ids_b, counts_b)])
+        self.asked, self.made = self.asked + len(which), self.made + len(chosen)
+        last, links, text, sizes = self.aligned(gather(ids_a, begin_a, counts_a, chosen), gather(ids_b, begin_b, counts_b, chosen))
+        groups = np.add.reduceat(last.astype(np.int64), np.cumsum(counts_a[chosen]) - counts_a[chosen])
+        first = np.cumsum(groups) - groups
+        cuts = [0, *np.cumsum(np.add.reduceat(sizes, first)).tolist()]
+        raw = text.tobytes()
+        texts = [raw[i:j] for i, j in zip(cuts, cuts[1:])]
+        out, at = [], 0
+        for n in of_doc.tolist():
+            own = which[at : at + n]
+            at += n
+            out.append((int(groups[own].sum()), b"".join([texts[w] for w in own.tolist()])[:-1], gather(links, first, groups, own)))
+        return out
+
+    def some(self, texts: list[str]) -> list[tuple]:
+        ids = list(zip(self.a.encode(texts), self.b.encode(texts)))
+        good = [i for i, t in enumerate(texts) if t and spelling(self.a, ids[i][0]) == spelling(self.b, ids[i][1]) == (" " + t).encode()]
+        out: list[tuple] = [(0, 0, 0, 0, "", [], [])] * len(texts)
+        for i, (n, groups, links) in zip(good, self.align([ids[i][0] for i in good], [ids[i][1] for i in good]) if good else []):
+            pairs, times = np.unique(links, return_counts=True)
+            out[i] = (len(ids[i][0]), len(ids[i][1]), n, len(links), hashlib.sha256(groups).hexdigest(), pairs, times)
+        return out
 
     def batch(self, texts: list[str | None]) -> list:
         """Columns of ALIGNED for some texts."""
-        if len(self.memo) > KEPT:
-            self.memo.clear()
         given = [t or "" for t in texts]
-        out = []
-        for text, ids_a, ids_b in zip(given, self.a.encode(given), self.b.encode(given)):
-            whole = (" " + text).encode()
-            if not text or spelling(self.a, ids_a) != whole or spelling(self.b, ids_b) != whole:
-                out.append((0, 0, 0, 0, "", [], []))
-                continue
-            groups, n, links = self.align(ids_a, ids_b)
-            pairs, times = np.unique(links, return_counts=True)
-            out.append((len(ids_a), len(ids_b), n, len(links), hashlib.sha256(groups.encode()).hexdigest(), pairs, times))
+        upto = np.cumsum([0, *map(len, given)])
+        out, i = [], 0
+        while i < len(given):
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + BATCH, "right")) - 1)
+            out += self.some(given[i:j])
+            i = j
         return list(zip(*out)) if out else [[] for _ in ALIGNED.fields]
 
 
