@@ -13,9 +13,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from campaignlens.storage import discard, materialize, shared_dir  # noqa: F401
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, so that a task holds few long texts at a time."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 64 << 20) -> None:
+    """Bound the rows and bytes of an Arrow batch, so that a task holds few long texts at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def append_columns(df: DataFrame, text_col: str, fields: T.StructType, make: Callable) -> DataFrame:
