@@ -169,17 +169,20 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Fit on at most ``positives`` documents of label 1 and ``unlabelled`` documents of any kind.
 
     Which they are follows from a hash of the ids. ``labels`` should hold the training rows only; null labels and
-    labels without a document take no part, nor does any other label than 1. ``prior`` is the share of class 1 among all documents, estimated if not
-    given. Without labels of class 1 there is no model.
+    labels without a document take no part, nor does any other label than 1. Rows of one id are one document of the sample, with the smallest of their texts. ``prior`` is the share of class 1 among all documents, estimated if not
+    given. Without labels of class 1 or without documents there is no model.
     """
     small_batches(docs.sparkSession)
     known = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).dropna().distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     chosen = first_by_hash(known, "id", positives).withColumn("positive", F.lit(True)).union(
-        first_by_hash(texts.select("id").where("id IS NOT NULL"), "id", unlabelled).withColumn("positive", F.lit(False))
+        first_by_hash(texts.select("id").where("id IS NOT NULL").distinct(), "id", unlabelled).withColumn("positive", F.lit(False))
     )
-    # at most positives + unlabelled ids
-    sample = append_columns(texts.join(F.broadcast(chosen), "id"), "text", FEATURES, _maker).select("positive", "features", "id").toPandas().sort_values("id", kind="stable")
+    # at most positives + unlabelled ids, and one row of each
+    sampled = texts.join(F.broadcast(chosen), "id").groupBy("id", "positive").agg(F.min("text").alias("text"))
+    sample = append_columns(sampled, "text", FEATURES, _maker).select("positive", "features", "id").toPandas().sort_values("id", kind="stable")
+    if sample.empty:
+        return None
     x = np.array(sample["features"].tolist(), float).reshape(len(sample), -1)
     mask = sample["positive"].to_numpy(bool)
     if not mask.any() or mask.all():

@@ -133,7 +133,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     # two rows of at most per_class sizes each
     upto = F.sum("n").over(Window.partitionBy("y").orderBy("h", "id", "n").rowsBetween(Window.unboundedPreceding, 0))
-    sizes = texts.select("id", "y", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"), F.xxhash64("id").alias("h")).groupBy("id", "y", "h").agg(F.sum("n").alias("n"))
+    sizes = texts.select("id", "y", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n"), F.xxhash64("id").alias("h")).groupBy("id", "y", "h").agg(F.sum("n").alias("n"))
     fitting = sizes.withColumn("upto", upto).where(F.col("upto") - F.col("n") < class_bytes).where(F.col("n") <= class_bytes).select("id")
     texts = texts.join(F.broadcast(fitting), "id", "left_semi")
 

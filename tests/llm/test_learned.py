@@ -118,3 +118,28 @@ def test_bounded_bytes_of_training_text(spark):
     labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic")
     assert toxicity.train_toxicity(docs, labels, class_bytes=1500).by_slot and toxicity.train_toxicity(docs, labels, class_bytes=3) is None
     assert toxicity.train_toxicity(docs, labels.limit(0)) is None
+
+
+def test_training_sample_is_bounded_by_distinct_ids(spark, monkeypatch):
+    rows = [(i, f"some words of document {i} here") for i in range(40)] + [(7, f"another text {i % 3}") for i in range(400)] + [(None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 40, 3)] + [(7, 1)] * 50 + [(99, 1), (None, 1), (8, None)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_non_negative", lambda p, u, prior: seen.append((len(p), len(u))))
+    quality.train_quality(docs, labels)
+    quality.train_quality(docs, labels, positives=3, unlabelled=5, prior=0.5)
+    assert seen == [(15, 40), (3, 5)]
+    assert quality.train_quality(docs.limit(0), labels) is None and quality.train_quality(docs, labels.limit(0)) is None
+    assert len(seen) == 2
+
+
+def test_many_empty_texts_of_one_id_are_bounded(spark):
+    docs = spark.createDataFrame([(1, None)] * 300 + [(2, "bad"), (3, "fine")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "doc_id long, toxic int")
+    sizes = []
+    real, toxicity.fit_noisy_or = toxicity.fit_noisy_or, lambda flats, *_: sizes.append(len(flats))
+    try:
+        toxicity.train_toxicity(docs, labels, class_bytes=100)
+    finally:
+        toxicity.fit_noisy_or = real
+    assert sizes == [2]

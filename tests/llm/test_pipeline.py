@@ -39,3 +39,33 @@ def test_stages(spark, sf_dir):
             assert all(np.frombuffer(r.ids, "<u4").tolist() == library.encode(before[i].text, add_special_tokens=False).ids and r.round_trip for i, r in after.items())
         before = after
     assert before
+
+
+def odd_tables(spark, folder, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_hit string, Spans int")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(9)] + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([("a", "one two three four five six"), ("b", None), (None, "x")], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return docs
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    long = "plain words that go on and on without an end. " * 5000
+    rows = [(i, t, "en", None, None, "x", 1) for i, t in enumerate([None, "", "a", long, "Some sentence of words. " * 30, "password = hunter2hunter2", "\x00퟿ é"])]
+    rows += [(4, "Some sentence of words. " * 30, None, "s", 1, None, None)] * 3 + [(None, "no id here at all", None, None, None, None, None)]
+    docs = odd_tables(spark, tmp_path, rows)
+    for name, stage in corpus_pipeline.STAGES:
+        after = corpus_pipeline.materialize(stage(spark, docs, str(tmp_path)), name)
+        assert after.count() <= docs.count()
+        if name != "bpe":
+            assert after.columns == docs.columns
+            docs = after
+    assert all(r.round_trip for r in after.collect())
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    docs = odd_tables(spark, tmp_path, [])
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.count() == 0 and (name == "bpe" or after.columns == docs.columns)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
