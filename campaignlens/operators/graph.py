@@ -79,29 +79,26 @@ def components(pairs: DataFrame) -> DataFrame:
     return roots.union(roots.select("root", "root")).distinct()
 
 
-def peeled(frames, first: int):
-    """Layers of one task's graph: rows (src, dst, is_node), an open node as (node, node, true)."""
+def peeled(graph: tuple, edges):
+    """Layers of one graph: rows (src, dst)."""
     import heapq
     from collections import defaultdict
 
     import pandas as pd
 
-    after, before, nodes = defaultdict(list), defaultdict(int), set()
-    for frame in frames:
-        for src, dst, is_node in zip(frame["src"].tolist(), frame["dst"].tolist(), frame["is_node"].tolist()):
-            if is_node:
-                nodes.add(src)
-            else:
-                after[src].append(dst)
-                before[dst] += 1
-    heap, layer, out = sorted(nodes), first, []
+    after, before = defaultdict(list), defaultdict(int)
+    for src, dst in zip(edges["src"].tolist(), edges["dst"].tolist()):
+        after[src].append(dst)
+        before[dst] += 1
+    nodes = set(after) | set(before)
+    heap, layer, out = sorted(nodes), 0, []
     ready = [n for n in heap if not before[n]]
     while nodes:
         if not ready:
             while heap[0] not in nodes:
                 heapq.heappop(heap)
             ready = [heap[0]]
-        out += [(n, layer) for n in ready]
+        out += [(*graph, n, layer) for n in ready]
         nodes.difference_update(ready)
         freed = []
         for n in ready:
@@ -111,31 +108,35 @@ def peeled(frames, first: int):
                     freed.append(m)
         ready = freed
         layer += 1
-    yield pd.DataFrame(out, columns=["node", "layer"])
+    return pd.DataFrame(out, columns=["graph", "node", "layer"])
 
 
-def topological_layers(pairs: DataFrame, local: int = 1_000_000) -> DataFrame:
-    """(node, layer): peels the nodes without open predecessors, one layer a round; when a cycle leaves none, the smallest node goes.
+def topological_layers(pairs: DataFrame, largest: int = 1_000_000) -> DataFrame:
+    """(graph, node, layer) of ``pairs`` (graph, src, dst), (node, layer) of pairs without ``graph``, which are one: each graph is peeled layer by layer.
 
-    The rounds follow each other, and cycles make as many as nodes. Once no more than ``local`` edges and open nodes are left, one task peels the rest.
+    A layer has the nodes without open predecessors in their graph; when a cycle leaves none, the graph's smallest node goes alone. Graphs are
+    independent, and each of up to ``largest`` edges is one group of a task. Larger ones are peeled by rounds over all of them at once, one for each layer of the deepest.
     """
-    edges = written(pairs.select("src", "dst").where("src <> dst").distinct())
-    nodes = written(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
-    out, layer = None, 0
-    while edges.count() + nodes.count() > local:
-        ready = nodes.join(edges.select(F.col("dst").alias("node")), "node", "left_anti")
-        if ready.isEmpty():
-            ready = nodes.agg(F.min("node").alias("node"))
-        ready = written(ready.select("node", F.lit(layer).alias("layer")))
-        out = ready if out is None else out.union(ready)
-        nodes = written(nodes.join(ready, "node", "left_anti"))
-        edges = written(edges.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
+    named = "graph" in pairs.columns
+    edges = pairs.select("graph" if named else F.lit(0).alias("graph"), "src", "dst").where("src <> dst").distinct()
+    edges = written(edges)
+    large = written(edges.groupBy("graph").count().where(F.col("count") > largest).select("graph"))
+    kinds = {c: edges.schema[c].dataType.simpleString() for c in ("graph", "src")}
+    out = edges.join(large, "graph", "left_anti").groupBy("graph").applyInPandas(peeled, f"graph {kinds['graph']}, node {kinds['src']}, layer int")
+    edges = written(edges.join(large, "graph", "left_semi"))
+    nodes = written(edges.select("graph", F.explode(F.array("src", "dst")).alias("node")).distinct())
+    layer = 0
+    while not nodes.isEmpty():
+        ready = nodes.join(edges.select("graph", F.col("dst").alias("node")), ["graph", "node"], "left_anti")
+        stuck = nodes.join(ready.select("graph").distinct(), "graph", "left_anti").groupBy("graph").agg(F.min("node").alias("node"))
+        ready = written(ready.union(stuck).select("graph", "node", F.lit(layer).alias("layer")))
+        out = out.union(ready)
+        nodes = written(nodes.join(ready, ["graph", "node"], "left_anti"))
+        edges = written(edges.join(ready.select("graph", F.col("node").alias("src")), ["graph", "src"], "left_anti").select("graph", "src", "dst"))
         layer += 1
         if layer % 10 == 0:
             out = written(out)
-    rest = edges.withColumn("is_node", F.lit(False)).union(nodes.select("node", "node", F.lit(True)))
-    rest = rest.coalesce(1).mapInPandas(lambda frames, first=layer: peeled(frames, first), f"node {edges.schema['src'].dataType.simpleString()}, layer int")
-    return rest if out is None else out.union(rest)
+    return out if named else out.select("node", "layer")
 
 
 def breadth_first_order(reached: DataFrame) -> DataFrame:

@@ -15,6 +15,39 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return lines.select("run", "line_no", *[F.nullif(F.regexp_extract("line", p, 1), F.lit("")).cast("long").alias(n) for n, p in FIELDS.items()])
 
 
+# What an engine's log lines say, statistics of its last lines, and the names of files that it saves.
+PULSE_FIELDS = {
+    "cov": r"\bcov:\s*(\d+)", "ft": r"\bft:\s*(\d+)", "corp": r"\bcorp:\s*(\d+)(?:/\S+)?", "execs_per_sec": r"\bexec/s:\s*(\d+(?:\.\d+)?)",
+    "crashes": r"\bcrashes:\s*(\d+)", "ooms": r"\booms:\s*(\d+)", "timeouts": r"\btimeouts:\s*(\d+)",
+}
+EXECUTIONS = r"^#(\d+)\s+(?:INITED|NEW|REDUCE|pulse|DONE)\b"
+STATISTICS = {"execs_done": r"stat::number_of_executed_units:\s*([0-9]+(?:\.[0-9]+)?)", "execs_per_sec": r"stat::average_exec_per_sec:\s*([0-9]+(?:\.[0-9]+)?)"}
+SAVED = {"crashes": ("crash-", "leak-"), "ooms": ("oom-",), "timeouts": ("timeout-",)}
+
+
+def log_fields(lines: DataFrame) -> DataFrame:
+    """(run, line_no, field, value): a row for each number that a line reports; ``stat.`` marks explicit statistics, ``execs_pulse`` the executions of a progress line."""
+    patterns = PULSE_FIELDS | {"execs_pulse": EXECUTIONS} | {f"stat.{n}": p for n, p in STATISTICS.items()}
+    found = [F.struct(F.lit(n).alias("field"), F.nullif(F.regexp_extract("line", p, 1), F.lit("")).cast("double").alias("value")) for n, p in patterns.items()]
+    return lines.select("run", "line_no", F.inline(F.filter(F.array(*found), lambda x: x["value"].isNotNull())))
+
+
+def final_statistics(lines: DataFrame, saved: DataFrame) -> DataFrame:
+    """Per run the last value of each field. Explicit statistics beat pulses, files (run, name) that the run saved fill what no line reports, and ``final`` tells whether the run counted its executions at its end."""
+    names = [*PULSE_FIELDS, "execs_pulse", *[f"stat.{n}" for n in STATISTICS]]
+    fields = log_fields(lines).groupBy("run").agg(*[F.max_by("value", F.when(F.col("field") == n, F.col("line_no"))).alias(n.replace(".", "_")) for n in names])
+    # a run without any number is a row too
+    last = lines.select("run").distinct().join(fields, "run", "left")
+    counts = saved.groupBy("run").agg(*[F.count_if(F.col("name").rlike("^(" + "|".join(prefixes) + ")")).alias(f"saved_{n}") for n, prefixes in SAVED.items()])
+    return last.join(counts, "run", "left").select(
+        "run", "cov", "ft", "corp",
+        F.coalesce("stat_execs_per_sec", "execs_per_sec").alias("execs_per_sec"),
+        F.coalesce("stat_execs_done", "execs_pulse").alias("execs_done"),
+        *[F.coalesce(n, F.col(f"saved_{n}").cast("double"), F.lit(0.0)).alias(n) for n in SAVED],
+        F.col("stat_execs_done").isNotNull().alias("final"),
+    )
+
+
 def final_telemetry(lines: DataFrame) -> DataFrame:
     """The last of each number; an explicit statistic beats the rate of a pulse."""
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no")))

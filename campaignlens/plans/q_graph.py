@@ -27,7 +27,7 @@ register("g17_structure_descendants", lambda t: G.reachable(trav(t), trav(t).sel
 register("g12_alias_components", lambda t: G.components(t.edges.where("NOT inferred")), "WITH RECURSIVE p AS (SELECT src, dst FROM @edges WHERE NOT inferred UNION SELECT dst, src FROM @edges WHERE NOT inferred), r(node, other) AS (SELECT src, dst FROM p UNION SELECT r.node, p.dst FROM r JOIN p ON p.src = r.other) SELECT node, least(node, min(other)) AS root FROM r GROUP BY node")
 register("g7_breadth_first_order", lambda t: G.breadth_first_order(G.reachable(trav(t), starts(t))), f"WITH RECURSIVE {DEPTH} SELECT anchor, node, row_number() OVER (PARTITION BY anchor ORDER BY depth, node)::INT AS position FROM bfs")
 register("g6_triplet_extraction", lambda t: G.extract_triplets(G.reachable(trav(t), starts(t)), trav(t), 12), f"WITH RECURSIVE {DEPTH}, z AS (SELECT anchor, count(*) AS nodes, max(depth) AS depth FROM bfs GROUP BY 1), n AS (SELECT a.anchor, count(*) AS edges FROM bfs a JOIN trav ON trav.src = a.node JOIN bfs b ON b.anchor = a.anchor AND b.node = trav.dst GROUP BY 1) SELECT z.anchor, nodes, depth, CASE WHEN nodes <= 12 THEN coalesce(edges, 0) END AS edges, CASE WHEN nodes > 12 THEN 'oversize' END AS excluded FROM z LEFT JOIN n ON n.anchor = z.anchor")
-register("g16_topological_layers", lambda t: G.topological_layers(t.edges))
+register("g16_topological_layers", lambda t: G.topological_layers(t.edges.withColumn("graph", F.floor(F.col("src") / 1_000_000_000))).select("node", "layer"))
 register("a14_structural_opportunity", lambda t: G.structural_opportunity(trav(t)), f"WITH {TRAV}, o AS (SELECT src AS node, count(DISTINCT dst) AS outs, count(DISTINCT dst % 7) AS kinds FROM trav GROUP BY 1), i AS (SELECT dst AS node, count(DISTINCT src) AS ins FROM trav GROUP BY 1) SELECT coalesce(o.node, i.node) AS node, round(0.5 * least(1.0, coalesce(outs, 0) / 4) + 0.25 * least(1.0, coalesce(ins, 0) / 3) + 0.25 * least(1.0, coalesce(kinds, 0) / 3), 6) AS score FROM o FULL JOIN i ON i.node = o.node")
 register("j8_referential_integrity", lambda t: t.edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(t.graph_functions.where("defined").select(F.col("function_id").alias("node")), "node", "left_anti"), "SELECT DISTINCT node FROM (SELECT src AS node FROM @edges UNION ALL SELECT dst FROM @edges) q WHERE node NOT IN (SELECT function_id FROM @graph_functions WHERE defined)")
 register("j10_edge_restriction", lambda t: t.edges.join(t.graph_functions.where("defined").select(F.col("function_id").alias("src")), "src", "left_semi").join(t.graph_functions.where("defined").select(F.col("function_id").alias("dst")), "dst", "left_semi").select("src", "dst", "label", "inferred"), "SELECT src, dst, label, inferred FROM @edges WHERE src IN (SELECT function_id FROM @graph_functions WHERE defined) AND dst IN (SELECT function_id FROM @graph_functions WHERE defined)")

@@ -2,6 +2,10 @@
 
 import re
 
+from pyspark.sql import functions as F
+
+from campaignlens.operators import condense as C
+from campaignlens.operators import graph as G
 from campaignlens.plans import q_graph, q_io, q_more, q_scoring, q_telemetry, q_text, q_traces  # noqa: F401
 from campaignlens.plans.registry import GIVEN, register
 from campaignlens.plans.tables import Tables
@@ -10,7 +14,7 @@ WHOLE = {"edges": "all_edges", "anchors": "all_anchors", "null_nodes": "all_null
 #: These read all orders either way.
 EQUAL = ("g18_lifecycle_closure", "j23_manifest_check", "s6_coverage_export", "j12_consumable_patterns")
 #: Their SQL is too slow where nearly every node reaches every other: a test has their breadth-first search by hand.
-BY_HAND = ("g6_triplet_extraction", "g7_breadth_first_order", "g8_call_depth", "m7_deep_reachability")
+BY_HAND = ("g6_triplet_extraction", "m7_deep_reachability")
 
 
 class Whole(Tables):
@@ -20,6 +24,12 @@ class Whole(Tables):
         return super().__getattr__(WHOLE.get(name, name))
 
 
+#: One graph in which nearly every node reaches every other: components and what they reach, instead of all pairs of nodes.
+CONDENSED = ("g3_descendants", "g3_ancestors", "g4_bounded_reachability")
+#: Distances of all pairs have no shorter form; these take the levels from one root.
+ROOTED = ("g7_breadth_first_order", "g8_call_depth")
+
+
 def twin(name):
     plan, sql = GIVEN[name]
     text = sql and re.sub(r"@(\w+)", lambda m: "@" + WHOLE.get(m[1], m[1]), sql)
@@ -27,5 +37,40 @@ def twin(name):
 
 
 for _name, (_, _sql) in list(GIVEN.items()):
-    if _name in EQUAL or _sql and any(re.search(rf"@{r}\b", _sql) for r in WHOLE):
+    if _name not in (*CONDENSED, *ROOTED) and (_name in EQUAL or _sql and any(re.search(rf"@{r}\b", _sql) for r in WHOLE)):
         twin(_name)
+
+
+def reach(t, backward=False, bounded=False):
+    t = Whole(t.spark, t.sf_dir)
+    pairs = q_graph.trav(t)
+    if backward:
+        pairs = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return C.as_one(*C.condensed_reach(pairs, t.graph_functions.where("is_static").select(F.col("function_id").alias("node")) if bounded else None))
+
+
+def reach_sql(pairs, stop):
+    """All pairs of nodes, then components; paths go on from nodes that are not ``stop``."""
+    return f"""WITH RECURSIVE t AS (SELECT DISTINCT src, dst FROM @all_edges WHERE src NOT IN (SELECT node FROM @all_null_nodes) AND dst NOT IN (SELECT node FROM @all_null_nodes)),
+e AS (SELECT {pairs} FROM t), free AS (SELECT src, dst FROM e WHERE {stop}), r(a, b) AS (SELECT src, dst FROM free UNION SELECT r.a, f.dst FROM r JOIN free f ON f.src = r.b),
+n AS (SELECT DISTINCT unnest([src, dst]) AS node FROM e), m AS (SELECT node, least(node, coalesce((SELECT min(x.b) FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a = node), node)) AS component FROM n),
+f AS (SELECT a, b FROM r UNION SELECT src, dst FROM e UNION SELECT src, b FROM e JOIN r ON r.a = dst)
+SELECT 'member' AS part, component, node AS other FROM m UNION ALL SELECT DISTINCT 'reached', x.component, y.component FROM f JOIN m x ON x.node = a JOIN m y ON y.node = b"""
+
+
+STATIC = "src NOT IN (SELECT function_id FROM @functions WHERE is_static)"
+register("g3_descendants_whole", reach, reach_sql("src, dst", "true"))
+register("g3_ancestors_whole", lambda t: reach(t, backward=True), reach_sql("dst AS src, src AS dst", "true"))
+register("g4_bounded_reachability_whole", lambda t: reach(t, bounded=True), reach_sql("src, dst", STATIC))
+
+
+def levels(t):
+    """Depths from the smallest part that calls any."""
+    t = Whole(t.spark, t.sf_dir)
+    pairs = q_graph.trav(t)
+    return G.reachable(pairs, pairs.agg(F.min("src").alias("anchor")).where("anchor IS NOT NULL").withColumn("node", F.col("anchor")))
+
+
+ROOT = re.sub(r"@(\w+)", lambda m: "@" + WHOLE.get(m[1], m[1]), q_graph.DEPTH).replace("@all_anchors", "(SELECT min(src) AS anchor FROM trav) a")
+register("g8_call_depth_whole", levels, f"WITH RECURSIVE {ROOT} SELECT * FROM bfs")
+register("g7_breadth_first_order_whole", lambda t: G.breadth_first_order(levels(t)), f"WITH RECURSIVE {ROOT} SELECT anchor, node, row_number() OVER (PARTITION BY anchor ORDER BY depth, node)::INT AS position FROM bfs")

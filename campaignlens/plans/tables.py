@@ -44,6 +44,11 @@ RELATIONS = {
     "log_lines": """SELECT user_id AS run, event_id AS line_no, CASE event_type WHEN 'error' THEN concat('==7==ERROR: AddressSanitizer: heap-buffer-overflow on ', CAST(event_id AS VARCHAR(20)))
   WHEN 'signup' THEN concat('stat::average_exec_per_sec: ', CAST(event_id % 977 AS VARCHAR(20))) WHEN 'purchase' THEN 'INFO: Running with entropic power schedule'
   ELSE concat('#', CAST(event_id AS VARCHAR(20)), ' NEW    cov: ', CAST(event_id % 641 AS VARCHAR(20)), ' ft: ', CAST(event_id % 1283 AS VARCHAR(20)), ' corp: ', CAST(event_id % 97 AS VARCHAR(20)), '/1b exec/s: ', CAST(event_id % 4999 AS VARCHAR(20))) END AS line FROM {events}""",
+    "rich_log_lines": """SELECT user_id AS run, event_id AS line_no, CASE event_type WHEN 'error' THEN concat('==7==ERROR: AddressSanitizer: heap-buffer-overflow on ', CAST(event_id AS VARCHAR(20)))
+  WHEN 'signup' THEN concat(CASE event_id % 3 WHEN 0 THEN 'stat::average_exec_per_sec:     ' WHEN 1 THEN 'stat::number_of_executed_units: ' ELSE 'stat::peak_rss_mb:              ' END, CAST(event_id % 977 AS VARCHAR(20)), CASE WHEN event_id % 2 = 0 THEN '.5' ELSE '' END)
+  WHEN 'purchase' THEN concat('#', CAST(event_id AS VARCHAR(20)), '  pulse  corp: ', CAST(event_id % 97 AS VARCHAR(20)), '/12Kb exec/s: ', CAST(event_id % 499 AS VARCHAR(20)), '.25 crashes: ', CAST(event_id % 3 AS VARCHAR(20)), CASE WHEN event_id % 4 = 0 THEN ' ooms: 1 timeouts: 2' ELSE '' END)
+  ELSE concat('#', CAST(event_id AS VARCHAR(20)), CASE event_id % 5 WHEN 0 THEN ' INITED' WHEN 1 THEN ' NEW   ' WHEN 2 THEN ' REDUCE' WHEN 3 THEN ' RELOAD' ELSE ' DONE  ' END, ' cov: ', CAST(event_id % 641 AS VARCHAR(20)), ' ft: ', CAST(event_id % 1283 AS VARCHAR(20))) END AS line FROM {events}""",
+    "saved_artefacts": "SELECT user_id AS run, concat(CASE event_id % 5 WHEN 0 THEN 'crash-' WHEN 1 THEN 'leak-' WHEN 2 THEN 'oom-' WHEN 3 THEN 'timeout-' ELSE 'slow-unit-' END, CAST(event_id AS VARCHAR(20))) AS name FROM {events} WHERE event_type = 'error'",
     "frames": """SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS idx,
   CASE event_id % 3 WHEN 0 THEN '/target/src/a.c' WHEN 1 THEN '/gen/harness.c' ELSE '/usr/lib/x.c' END AS source, CAST(event_id % 900 AS INT) AS line, user_id % 4 = 0 AS is_leak FROM {events} WHERE event_type = 'error'""",
     "history": """SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq,
@@ -56,6 +61,22 @@ RELATIONS = {
     "html_pages": "SELECT page_id AS id, html AS text FROM {pages} WHERE html IS NOT NULL",
     "usage": "SELECT conv_id AS candidate, turn AS attempt, role, length(text) AS tokens FROM {conversations}",
 }
+#: Flow graphs of structure types, one for each twenty order keys, whose functions, of forty kinds, stand on several edges. Roles are bits: ISF 1, PRF 2, HPF 4.
+STRUCT = "CASE WHEN p_size <= 5 THEN '(null)' ELSE p_brand END"
+OPAQUE = "p_size > 5 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4')"
+PROJECT = "CAST(floor(l_orderkey / 20) AS BIGINT)"
+FUNCTION = f"{PROJECT} * 1000 + l_suppkey % 40"
+OF_ORDER = f"OVER (PARTITION BY l_orderkey ORDER BY {ORDER})"
+RELATIONS |= {
+    "ft_edges": f"""SELECT * FROM (SELECT {PROJECT} AS project, {FUNCTION} AS function, {STRUCT} AS src, lead({STRUCT}) {OF_ORDER} AS dst, CASE l_returnflag WHEN 'A' THEN 2 WHEN 'R' THEN 4 ELSE 0 END AS label, l_discount > 0.05 AS inferred
+  FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey) e WHERE src <> dst""",
+    "ft_functions": f"""SELECT project, function, concat('f', CAST(function % 20 AS VARCHAR(9))) AS name, concat('s', CAST(function % 20 AS VARCHAR(9))) AS shape, CAST(count(*) AS INT) AS n_params,
+  CASE WHEN function % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN function % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN function % 4 = 1 THEN 4 ELSE 0 END AS roles FROM (SELECT {PROJECT} AS project, {FUNCTION} AS function FROM {{lineitem}}) f GROUP BY project, function""",
+    "ft_handles": f"SELECT DISTINCT {PROJECT} AS project, {FUNCTION} AS function, p_brand AS resource_type FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey WHERE {OPAQUE} AND l_tax > 0.03",
+    "ft_opaque": f"SELECT DISTINCT {PROJECT} AS project, p_brand AS node FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey WHERE {OPAQUE}",
+    "ft_ownership": f"""SELECT * FROM (SELECT concat(CAST(l_orderkey AS VARCHAR(20)), '.', CAST(row_number() {OF_ORDER} AS VARCHAR(20))) AS relation, {PROJECT} AS project, p_brand AS resource_type, {FUNCTION} AS producer, lead({FUNCTION}) {OF_ORDER} AS cleanup,
+  round(0.7 + 3 * l_discount, 2) AS confidence, {OPAQUE} AS is_opaque FROM {{lineitem}} JOIN {{part}} ON p_partkey = l_partkey) o WHERE is_opaque AND cleanup IS NOT NULL""",
+}
 #: One project of all orders: parts are nodes, and any part is an anchor.
 RELATIONS["all_edges"] = RELATIONS["edges"].replace(NODE, "l_partkey")
 RELATIONS["all_anchors"] = "SELECT DISTINCT l_partkey AS anchor FROM {lineitem}"

@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from campaignlens.storage import materialize
+
+
+def path_component(glob: str) -> str:
+    """A regular expression for paths with a component that a glob matches."""
+    return "/" + "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in glob) + "/"
+
 
 def source_tree(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".c", ".h"), ignored: tuple[str, ...] = (), left_out: tuple[str, ...] = ("harness.c",)) -> DataFrame:
-    """(path, name, sha256, content) of files of some suffixes below ``root``; ``ignored`` are globs of a path component."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*{" + ",".join(suffixes) + "}").load(root)
-    name = F.regexp_extract("path", "([^/]+)$", 1)
-    rows = files.select("path", name.alias("name"), F.sha2("content", 256).alias("sha256"), "content").where(~F.col("name").isin(*left_out))
+    """(path, name, sha256, content) of files of some suffixes (in either case) below ``root``; ``ignored`` are globs of a path component below it.
+
+    Conditions are on the files' metadata, so that Spark prunes the list of files before it opens any.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    where, name = F.col("_metadata.file_path"), F.col("_metadata.file_name")
+    kept = name.rlike("(?i)(" + "|".join(map(re.escape, suffixes)) + ")$") & ~name.isin(*left_out)
+    base = r"^[^/]*/*" + re.escape(re.sub(r"^[a-z]+:/*", "", root).strip("/"))
     for glob in ignored:
-        import re
+        kept &= ~where.rlike(base + "(/.*)?" + path_component(glob))
+    return files.where(kept).select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"), "content")
+
 
-        part = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in glob)
-        rows = rows.where(~F.col("path").rlike(f"/{part}/"))
-    return rows
+def seed_corpus(spark: SparkSession, root: str) -> DataFrame:
+    """(sha256, size, copies, path) of the files below ``root``: files of equal bytes are one seed, named by its content; ``path`` is the smallest of them."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(F.sha2("content", 256).alias("sha256"), "length", "path").groupBy("sha256").agg(F.min("length").alias("size"), F.count("*").alias("copies"), F.min("path").alias("path"))
 
 
 def fact_documents(spark: SparkSession, path: str, schema: str, array: str, version: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -26,6 +42,14 @@ def fact_documents(spark: SparkSession, path: str, schema: str, array: str, vers
     return rows, rows.groupBy("id").count().where("count > 1").select("id")
 
 
+def rejected_documents(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
+    """(path, version, reason) of the documents that ``fact_documents`` leaves out: of another version, of none, or not readable."""
+    docs = spark.read.schema("schema_version int, _corrupt string").option("multiLine", "true").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    rows = docs.select(F.col("_metadata.file_path").alias("path"), F.col("schema_version").alias("version"), "_corrupt")
+    reason = F.when(F.col("_corrupt").isNotNull(), "not readable").when(F.col("version").isNull(), "no version").otherwise("other version")
+    return rows.where(F.col("_corrupt").isNotNull() | ~F.col("version").eqNullSafe(version)).select("path", "version", reason.alias("reason"))
+
+
 def strict_reports(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """One JSON report a line: those that fit the schema, and (record, reason) of the rejected."""
     rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
@@ -41,6 +65,20 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
 
 
+def numbered_log_lines(spark: SparkSession, root: str) -> DataFrame:
+    """(path, line_no, line) of the text logs below ``root``, lines numbered from 1 in each file.
+
+    A file is read in several blocks. Lines are numbered within their block, and blocks by the lines before them, so that no task sees a whole file.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(root).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")
+    )
+    lines = materialize(lines, "log-lines")
+    blocks = lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(blocks.select("path", "block", "first", before.alias("before")), ["path", "block"]).select("path", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_no"), "line")
+
+
 def coverage_export(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
     """(file, kind, total, covered) of nested coverage documents, ``whole`` files or one a line."""
     one = "struct<count:bigint,covered:bigint>"
