@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from campaignlens.operators.graph import reachable
-from campaignlens.plans.fixpoint import written
+from campaignlens.plans.fixpoint import fixpoint, written
 from campaignlens.storage import discard
 
 
@@ -96,3 +96,19 @@ def cleanup_order(flows: DataFrame, owned: DataFrame) -> DataFrame:
     due = relevant.join(top, ["caller", "src"]).where("NOT cleans OR (NOT source AND function <> cleanup)").groupBy("caller", "cleanup").agg(F.max(F.struct("last", "function")).alias("due"))
     rows = sources.select("caller", "cleanup").distinct().join(last.select("caller", F.col("function").alias("cleanup"), "first"), ["caller", "cleanup"]).join(due, ["caller", "cleanup"], "left")
     return rows.select("caller", "cleanup", "first", F.col("due.last").alias("last"), F.when(F.col("due.last") > F.col("first"), F.col("due.function")).alias("late"))
+
+
+def argument_sources(flows: DataFrame, parameters: DataFrame, arguments: DataFrame) -> DataFrame:
+    """(caller, call, sources): which inputs of a caller reach the arguments of each call, comma-joined; calls that none reaches have an empty text.
+
+    ``parameters`` (caller, name, label) are the inputs and ``flows`` (caller, src, dst) what is assigned from what: labels spread over flows to a fix point, and a name
+    may hold several. ``arguments`` is (caller, call, name). Rows without a caller or name take no part.
+    """
+    steps = written(flows.select("caller", F.col("src").alias("name"), "dst").where("name IS NOT NULL AND dst IS NOT NULL").distinct())
+    labels = fixpoint(
+        parameters.select("caller", "name", "label").dropna(),
+        lambda held: held.join(steps, ["caller", "name"]).select("caller", F.col("dst").alias("name"), "label"),
+        ["caller", "name", "label"],
+    )
+    met = arguments.join(labels, ["caller", "name"], "left")
+    return met.groupBy("caller", "call").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("sources"))
