@@ -39,6 +39,12 @@ NAMES_OTHER = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc sidebar aside widget related recommended recommendations trending share sharing social follow newsletter subscribe subscription signup login "
     "comment comments comentarios disqus reply replies respond footer foot header masthead topbar toolbar copyright legal disclaimer search form skip".split()
 )
+#: Words of these that articles have as subjects too: a name marks only if its other words, if any, are of such or of a page's furniture.
+NAMES_EITHER = frozenset("notice notices alert related recommended recommendations trending share sharing social follow promotion banner reply replies respond legal search form skip menu foot".split())
+FURNITURE = frozenset(
+    "area articles bar block bottom box button buttons card cards col column container content div entries footer grid group header icon icons inner item items left link links list message module more msg news outer page pages panel "
+    "post posts primary region results right row secondary section site stories story tab tabs tags text title to top us widgets wrap wrapper you your".split()
+)
 NAMES_MAIN = frozenset("article content main post entry story body text".split())
 ROLES_OTHER = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 NAME = re.compile(r"[a-z]+")
@@ -127,7 +133,8 @@ class Lines(HTMLParser):
             if key in ("class", "id") and value:
                 for name in value.split():
                     words = set(NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
-                    other |= bool(words & NAMES_OTHER and not words & NAMES_MAIN or "comment" in words or "comments" in words)
+                    telling = bool(words & NAMES_OTHER - NAMES_EITHER) or words <= NAMES_OTHER | FURNITURE
+                    other |= bool(words & NAMES_OTHER and telling and not words & NAMES_MAIN or "comment" in words or "comments" in words)
         return other, False
 
     def handle_endtag(self, tag):

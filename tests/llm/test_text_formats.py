@@ -103,3 +103,16 @@ def test_main_text_in_linear_time():
         began = time.perf_counter()
         html.main_text(page)
         assert time.perf_counter() - began < 6, page[:20]
+
+
+def test_sections_named_by_their_subject_stay():
+    from campaignlens.llm.html import main_text
+
+    page = lambda name: (
+        f"<body><div class='nav'><a href=x>a</a><a href=y>b</a></div><div class='content'><p>{'Lead words of the article. ' * 8}</p>"
+        f"<section class='{name}'><p>{'Work that others did on this. ' * 6}</p></section><p>{'End of the article. ' * 6}</p></div></body>"
+    )
+    for name in ("related-work", "legal-history", "searchAlgorithms", "social_structure", "methods"):
+        assert "others" in main_text(page(name)), name
+    for name in ("related-posts", "search-box", "share-buttons", "sidebar-x7", "newsletter", "related", "legal notice"):
+        assert "others" not in main_text(page(name)), name
