@@ -142,11 +142,11 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, block_bytes: int = 4 << 20) -> DataFrame:
+def find_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
     """Append ``n_words``, ``n_hit`` (words inside an occurring window), ``item_ids`` (items with occurring windows, sorted
     as strings) and ``hit_spans`` (runs of hit words as code points of the original text, end exclusive).
 
-    Each block of about ``block_bytes`` of benchmark text becomes one automaton of about 130 bytes a word, built by each
+    Each block of about ``block_bytes`` of benchmark text becomes one automaton of about 130 bytes a word (some 350 MB for 16 MB of text), built by each
     task; a benchmark of several blocks is scanned block after block over the same rows, each scan written before the next begins, so that
     one block's automaton is held at a time. Null or word-less texts have no words, windows or hits; null ids or
     texts of the benchmark take no part; repeated items count once. Columns of the result's names are replaced.
