@@ -49,7 +49,7 @@ RELATIONS = {
   WHEN 'purchase' THEN concat('#', CAST(event_id AS VARCHAR(20)), '  pulse  corp: ', CAST(event_id % 97 AS VARCHAR(20)), '/12Kb exec/s: ', CAST(event_id % 499 AS VARCHAR(20)), '.25 crashes: ', CAST(event_id % 3 AS VARCHAR(20)), CASE WHEN event_id % 4 = 0 THEN ' ooms: 1 timeouts: 2' ELSE '' END)
   ELSE concat('#', CAST(event_id AS VARCHAR(20)), CASE event_id % 5 WHEN 0 THEN ' INITED' WHEN 1 THEN ' NEW   ' WHEN 2 THEN ' REDUCE' WHEN 3 THEN ' RELOAD' ELSE ' DONE  ' END, ' cov: ', CAST(event_id % 641 AS VARCHAR(20)), ' ft: ', CAST(event_id % 1283 AS VARCHAR(20))) END AS line FROM {events}""",
     "saved_artefacts": "SELECT user_id AS run, concat(CASE event_id % 5 WHEN 0 THEN 'crash-' WHEN 1 THEN 'leak-' WHEN 2 THEN 'oom-' WHEN 3 THEN 'timeout-' ELSE 'slow-unit-' END, CAST(event_id AS VARCHAR(20))) AS name FROM {events} WHERE event_type = 'error'",
-    "declarations": f"""SELECT l_orderkey AS id, concat('S', CAST(l_orderkey % 7 AS VARCHAR(9))) AS name, {NODE} AS alias, concat(CASE WHEN l_orderkey % 3 = 0 THEN ' typedef ' ELSE '' END, 'struct', CASE WHEN l_orderkey % 2 = 0 THEN ' {{{{' ELSE ';' END) AS declaration FROM {{lineitem}}""",
+    "declarations": f"""SELECT l_orderkey AS id, concat('S', CAST(l_orderkey % 7 AS VARCHAR(9))) AS name, {NODE} AS alias, concat(CASE WHEN mod(l_orderkey, 3) = 0 THEN ' typedef ' ELSE '' END, 'struct', CASE WHEN mod(l_orderkey, 2) = 0 THEN ' {{{{' ELSE ';' END) AS declaration FROM {{lineitem}}""",
     "frames": """SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS idx,
   CASE event_id % 3 WHEN 0 THEN '/target/src/a.c' WHEN 1 THEN '/gen/harness.c' ELSE '/usr/lib/x.c' END AS source, CAST(event_id % 900 AS INT) AS line, user_id % 4 = 0 AS is_leak FROM {events} WHERE event_type = 'error'""",
     "history": """SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq,
