@@ -166,6 +166,8 @@ def greedy_triplets(items: DataFrame, functions: DataFrame, structures: DataFram
         anchors.append(got[0]["anchor"])
         chosen.append((position, got[0]["item"], round(float(got[0]["benefit"]), 6)))
         left -= got[0]["calls"]
+    for kept in (functions, structures, items):
+        kept.unpersist()
     return items.sparkSession.createDataFrame(chosen, f"position int, item {items.schema['item'].dataType.simpleString()}, benefit double")
 
 

@@ -47,3 +47,21 @@ def test_a_failing_evaluator_is_an_error_row(spark):
     assert {r.status for r in scoring.evaluation_report(ids, {}, ("a",)).collect()} == {"not_implemented"}
     with pytest.raises(ValueError, match="unknown"):
         scoring.evaluation_report(ids, made, ("a",))
+
+
+def test_path_kinds_and_stream_kinds(spark):
+    paths = {"src/a.c": "production", "latest.c": "test", "Testing/a.c": "test", "check/a.c": "test", "checks/a.c": "production", "demo/a.c": "example", "src/my_sample.tar.c": "example", "contest/x.c": "production", "a/tests": "test", ".demo": "example"}
+    df = spark.createDataFrame(list(paths.items()), "path string, want string")
+    assert [r.path for r in df.where(~candidates.path_kind(F.col("path")).eqNullSafe(F.col("want"))).collect()] == []
+    functions = spark.createDataFrame([(1, "parse_it", False), (2, "make", False), (3, None, None)], "function_id int, name string, returns_struct boolean")
+    rows = [
+        (1, 0, "errmsg", "char", 1, False, False), (1, 1, "text", "char", 1, False, True), (1, 2, "result", "char", 1, False, True), (2, 0, "p", "void", 1, False, False), (2, 1, "len", "int", 0, False, False),
+        (2, 2, "user_data", "char", 1, False, False), (2, 3, "data", "uint8_t", 2, False, False), (3, 0, None, "char", 1, True, False), (3, 1, "filename", "char", 1, False, True), (3, 2, "q", "void", 1, False, False),
+    ]
+    params = spark.createDataFrame(rows, "function_id int, pos int, name string, base_type string, depth int, is_struct boolean, is_const boolean")
+    got = {(r.function_id, r.pos): (r.kind, r.accepted) for r in candidates.stream_kinds(functions, params).collect()}
+    assert got == {
+        (1, 0): ("other", False), (1, 1): ("text", True), (1, 2): ("text", False), (2, 0): ("binary", True), (2, 2): ("text", False), (2, 3): ("binary", True), (3, 0): ("struct", False), (3, 1): ("filename", False),
+    }
+    found = {r.function_id: (r.isf, r.streams, r.prf, r.struct_parameters, r.return_struct) for r in candidates.candidate_records(functions.select("function_id", F.when(F.col("function_id") == 1, "S").alias("return_struct")), params).collect()}
+    assert found == {1: (True, [0, 1, 2], True, [], "S"), 2: (True, [0, 2, 3], False, [], None), 3: (True, [0, 1], True, [0], None)}
