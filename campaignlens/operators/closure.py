@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from campaignlens.operators.graph import reachable
@@ -45,12 +47,12 @@ def alias_roots(aliases: DataFrame) -> DataFrame:
     return tails.union(loops.select("name", "name", F.lit(None).cast("long"), F.lit(True)))
 
 
-def include_closure(includes: DataFrame, roots: DataFrame, most: int = 40) -> DataFrame:
+def include_closure(includes: DataFrame, roots: DataFrame, most: int = 40, graph: Callable[[Column], Column] | None = None) -> DataFrame:
     """(project, node, depth, position): the first ``most`` files that the ``roots`` (project, node) of a project include, nearest first, roots themselves at depth 0.
 
-    ``includes`` is (src, dst). Files of one depth go by name; the limit is the rule's own.
+    ``includes`` is (src, dst). Files of one depth go by name; the limit is the rule's own. ``graph`` is as for ``reachable``.
     """
-    found = reachable(includes.select("src", "dst").distinct(), roots.select(F.col("project").alias("anchor"), "node"))
+    found = reachable(includes.select("src", "dst").distinct(), roots.select(F.col("project").alias("anchor"), "node"), graph=graph)
     near = roots.select("project", "node", F.lit(0).alias("depth")).union(found.select("anchor", "node", "depth")).groupBy("project", "node").agg(F.min("depth").alias("depth"))
     w = Window.partitionBy("project").orderBy("depth", "node")
     return near.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most)

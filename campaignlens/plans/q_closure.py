@@ -26,7 +26,7 @@ SELECT s.name, s.root, CASE WHEN s.cyclic THEN s.k ELSE e.k END AS "offset", s.c
 )
 register(
     "g14_include_closure",
-    lambda t: C.include_closure(t.edges, t.anchors.select(F.floor(F.col("anchor") / PROJECT).alias("project"), F.col("anchor").alias("node"))),
+    lambda t: C.include_closure(t.edges, t.anchors.select(F.floor(F.col("anchor") / PROJECT).alias("project"), F.col("anchor").alias("node")), graph=t.graph),
     f"""WITH RECURSIVE inc AS (SELECT DISTINCT src, dst FROM @edges),
 bfs(project, node, depth) USING KEY (project, node) AS (SELECT anchor // {PROJECT}, anchor, 0 FROM @anchors UNION SELECT b.project, e.dst, (min(b.depth) + 1)::INT FROM bfs b JOIN inc e ON e.src = b.node
 WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs r WHERE r.project = b.project AND r.node = e.dst) GROUP BY 1, 2)
