@@ -55,6 +55,18 @@ def test_failed_rows_are_decisions_of_no_confidence(spark):
         A.decide(df, Stopping, "function_role").collect()
 
 
+def test_equal_questions_are_asked_once(spark, tmp_path):
+    class Noting(Odd):
+        def stream_parameter(self, row, variant):
+            (tmp_path / __import__("uuid").uuid4().hex).touch()
+            return super().stream_parameter(row, variant)
+
+    df = spark.createDataFrame([(i, i % 6 or None, "data" if i % 2 else None) for i in range(60)], "item long, id long, name string").where("id IS NOT NULL")
+    want = rows(A.stream_votes(A.decide(df, Odd, "stream_parameter", A.VARIANTS), ["item"]))
+    assert rows(A.votes_by_question(df, Noting, ["item"], ["id", "name"])) == want and len(want) == 50
+    assert len(list(tmp_path.iterdir())) == 5 * len(A.VARIANTS)
+
+
 def test_failed_batches_are_halved(spark):
     df = spark.createDataFrame([(i, "a" if i < 30 else "b") for i in range(40)], "id long, kind string")
     got = A.review_patterns(df, Odd, group="kind", key="id").collect()
