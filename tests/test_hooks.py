@@ -151,3 +151,16 @@ def test_statistics_of_a_log(spark):
         (1, 10.0, 12.0, 5.0, 21.75, 900.0, 1.0, 0.0, 0.0, True), (2, None, None, None, 7.0, 5.0, 2.0, 0.0, 1.0, False), (3, None, None, None, None, None, 0.0, 0.0, 0.0, False)
     ]
     assert T.log_fields(lines).where(F.col("run") == 3).isEmpty()
+
+
+def test_many_tasks_write_the_small_files(spark, sf_dir, tmp_path, monkeypatch):
+    """One task a file after the other would take all of the time."""
+    from campaignlens.plans import q_hooks
+    from campaignlens.plans.tables import Tables
+
+    monkeypatch.setattr(q_hooks, "folder", lambda t, name: f"{tmp_path}/{name}")
+    assert q_hooks.corpus(Tables(spark, sf_dir)).count() > 1
+    assert not [p for p in (tmp_path / "seeds").iterdir() if p.is_dir()]
+    q_hooks.run_logs(Tables(spark, sf_dir))
+    for name in ("seeds", "logs"):
+        assert len({p.name.split("-")[1] for p in (tmp_path / name).rglob("part-*")}) > 4
