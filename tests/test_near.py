@@ -32,7 +32,7 @@ def test_graphs_of_any_size(spark, seed, monkeypatch):
     assert rows(G.reachable(edges.limit(0), first.limit(0), graph=of)) == []
 
 
-@pytest.mark.parametrize("name", ["g3_descendants", "g4_bounded_reachability", "g6_triplet_extraction", "g7_breadth_first_order", "g8_call_depth", "g13_allocation_origins", "g14_include_closure", "g17_structure_descendants", "m7_deep_reachability"])
+@pytest.mark.parametrize("name", ["g3_descendants", "g4_bounded_reachability", "g6_triplet_extraction", "g7_breadth_first_order", "g8_call_depth", "g13_allocation_origins", "g14_include_closure", "g17_structure_descendants", "g17_structure_descendants_whole", "m7_deep_reachability"])
 def test_no_round_over_all_graphs(spark, sf_dir, name, monkeypatch):
     """A round shuffles what was seen; these search within graphs."""
 
