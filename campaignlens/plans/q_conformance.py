@@ -6,7 +6,7 @@ from campaignlens.operators import conformance as C
 from campaignlens.operators import lifecycle as L
 from campaignlens.operators import triplets as R
 from campaignlens.plans.q_traces import PAIRS
-from campaignlens.plans.q_triplets import SMALL, TRIPLETS, found
+from campaignlens.plans.q_triplets import SMALL, TRIPLETS, facts, found
 from campaignlens.plans.registry import register
 
 NAME = "CASE WHEN callee % 40 = 3 THEN 'printf' WHEN callee % 40 = 7 THEN 'fopen' WHEN callee % 40 = 11 THEN 'memcpy' WHEN callee % 40 = 15 THEN concat('x', CAST(callee AS VARCHAR(20))) ELSE concat('f', CAST(callee AS VARCHAR(20))) END"
@@ -63,18 +63,28 @@ SELECT * FROM w WHERE why IS NOT NULL""")
 
 def semantics(t):
     """Kinds of what is known about a function, by its number and its edges."""
-    rows = t.ft_functions.select("project", "function", F.explode(F.array_compact(F.array(*[F.when(F.col("function") % m == r, F.lit(k)) for m, r, k in KINDS]))).alias("kind"))
-    return rows.unionByName(t.ft_handles.select("project", "function", F.lit("struct_access_hint").alias("kind")).distinct())
+    rows = t.functions.select("project", "function", F.explode(F.array_compact(F.array(*[F.when(F.col("function") % m == r, F.lit(k)) for m, r, k in KINDS]))).alias("kind"))
+    return rows.unionByName(t.handles.select("project", "function", F.lit("struct_access_hint").alias("kind")).distinct())
 
 
 KINDS = ((7, 0, "fuzzer_input_binding"), (6, 1, "guard_condition"), (4, 2, "return_status"), (9, 3, "return_struct"))
 FILE = "function % 7"
-register("a14_triplet_opportunity", lambda t: C.opportunity(found(t), t.ft_functions.select("project", "function", F.expr(FILE).alias("file"))),
+
+
+def opportunity(f):
+    return C.opportunity(found(f), f.functions.select("project", "function", F.expr(FILE).alias("file")))
+
+
+def readiness(f):
+    return C.readiness(found(f), semantics(f))
+
+
+register("a14_triplet_opportunity", lambda t: opportunity(facts(t)),
          f"""WITH RECURSIVE {TRIPLETS}, every AS (SELECT project, anchor, function, src, dst FROM inner_ UNION SELECT project, anchor, function, src, dst FROM real_ UNION SELECT project, anchor, function, src, dst FROM made),
 n AS (SELECT project, anchor, count(*) AS n FROM (SELECT project, anchor, node FROM nodes WHERE node <> '(null)' UNION SELECT project, anchor, resource_type FROM closures) q GROUP BY 1, 2), e AS (SELECT project, anchor, count(*) AS n FROM every GROUP BY 1, 2),
 f AS (SELECT project, anchor, count(*) FILTER (roles & 2 > 0) AS prfs, count(DISTINCT {FILE}) AS files FROM final WHERE {SMALL} GROUP BY 1, 2)
 SELECT f.project, f.anchor, round(0.5 * least(1.0, prfs / 4) + 0.25 * least(1.0, coalesce(n.n, 0) / 3) + 0.15 * least(1.0, files / 3) + 0.1 * least(1.0, coalesce(e.n, 0) / 6), 6) AS score FROM f LEFT JOIN n ON n.project = f.project AND n.anchor = f.anchor LEFT JOIN e ON e.project = f.project AND e.anchor = f.anchor""")
-register("a15_triplet_readiness", lambda t: C.readiness(found(t), semantics(t)),
+register("a15_triplet_readiness", lambda t: readiness(facts(t)),
          f"""WITH RECURSIVE {TRIPLETS}, f AS (SELECT project, anchor, bool_or(function % 7 = 0) AS b, bool_or(function % 6 = 1) AS g, bool_or(function % 4 = 2 OR function % 9 = 3) AS r, bool_or(function % 9 = 3 OR (project, function) IN (SELECT project, function FROM @ft_handles)) AS s, bool_or(roles & 4 > 0 AND roles & 2 = 0) AS h FROM final WHERE {SMALL} GROUP BY 1, 2)
 SELECT project, anchor, round(0.35 * b::INT + 0.15 * g::INT + 0.15 * r::INT + 0.15 * s::INT + 0.2 * (h OR (project, anchor) IN (SELECT project, anchor FROM closures))::INT, 6)::DOUBLE AS score FROM f""")
 

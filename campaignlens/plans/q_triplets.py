@@ -1,28 +1,71 @@
 """Queries over triplets: entries with roles, what they reach, and the lifecycles that they need."""
 
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from campaignlens.operators import triplets as R
 from campaignlens.plans.registry import register
-from campaignlens.plans.tables import Tables
+from campaignlens.plans.tables import FUNCTION, OPAQUE, ORDER, PROJECT, STRUCT, Tables
+from campaignlens.storage import placed
 
 #: Anchors of more functions than this are left out.
 MOST = 30
 KEY = R.KEY
 
 
-def found(t: Tables) -> R.Triplets:
-    return R.extract(t.ft_edges, t.ft_functions, t.ft_handles, t.ft_opaque, t.ft_ownership, MOST)
+class Facts(NamedTuple):
+    edges: DataFrame
+    functions: DataFrame
+    handles: DataFrame
+    opaque: DataFrame
+    ownership: DataFrame
+
+
+def facts(t: Tables) -> Facts:
+    """The relations ``ft_*`` of ``tables``, from one join of the lines with their parts and one shuffle by project; of lines without a part functions alone are known."""
+    n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = t.spark.sql(
+        f"""SELECT {PROJECT} AS project, CAST({FUNCTION} AS BIGINT) AS function, l_orderkey, {ORDER}, l_returnflag, l_discount, l_tax, p_partkey IS NOT NULL AS known, CASE WHEN p_partkey IS NOT NULL THEN {STRUCT} END AS src, p_brand, {OPAQUE} AS is_opaque
+        FROM {{lineitem}} LEFT JOIN {{part}} ON p_partkey = l_partkey""",
+        lineitem=t.base("lineitem"), part=t.base("part"),
+    ).repartition(n, "project")
+    of_order = f"OVER (PARTITION BY project, known, l_orderkey ORDER BY {ORDER})"
+    rows = rows.select(
+        "project", "function", "known", "src", F.expr(f"lead(src) {of_order}").alias("dst"), F.expr("CASE l_returnflag WHEN 'A' THEN 2 WHEN 'R' THEN 4 ELSE 0 END").alias("label"), F.expr("l_discount > 0.05").alias("inferred"),
+        F.col("p_brand").alias("resource_type"), F.expr("is_opaque AND known").alias("is_opaque"), F.expr("l_tax > 0.03").alias("handled"), F.expr("round(0.7 + 3 * l_discount, 2)").alias("confidence"),
+        "l_orderkey", F.expr(f"row_number() {of_order}").alias("i"), F.expr(f"lead(function) {of_order}").alias("cleanup"),
+    )
+    rows = placed(rows, "project", spread=False)
+    lines = lambda sql: t.spark.sql(sql, rows=rows)
+    return Facts(
+        lines("SELECT project, function, src, dst, label, inferred FROM {rows} WHERE known AND src <> dst"),
+        lines("""SELECT project, function, concat('f', CAST(function % 20 AS VARCHAR(9))) AS name, concat('s', CAST(function % 20 AS VARCHAR(9))) AS shape, CAST(count(*) AS INT) AS n_params,
+          CASE WHEN function % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN function % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN function % 4 = 1 THEN 4 ELSE 0 END AS roles FROM {rows} GROUP BY project, function"""),
+        lines("SELECT DISTINCT project, function, resource_type FROM {rows} WHERE is_opaque AND handled"),
+        lines("SELECT DISTINCT project, resource_type AS node FROM {rows} WHERE is_opaque"),
+        lines("SELECT concat(CAST(l_orderkey AS VARCHAR(20)), '.', CAST(i AS VARCHAR(20))) AS relation, project, resource_type, function AS producer, cleanup, confidence FROM {rows} WHERE is_opaque AND cleanup IS NOT NULL"),
+    )
+
 
+def found(f: Facts) -> R.Triplets:
+    return R.extract(*f, MOST)
 
-def needing(t: Tables):
+
+def needing(t: Facts):
     """Each entry with the functions of the edges that leave a structure at which the entry ends."""
-    own = t.ft_functions.where("roles & 1 > 0").select("project", F.col("function").alias("anchor"), "function")
-    after = t.ft_edges.where(F.col("src") != R.NULL).select("project", F.col("src").alias("dst"), F.col("function").alias("user"))
-    next_ = own.join(t.ft_edges, ["project", "function"]).select("project", "anchor", "dst").distinct().join(after, ["project", "dst"])
+    own = t.functions.where("roles & 1 > 0").select("project", F.col("function").alias("anchor"), "function")
+    after = t.edges.where(F.col("src") != R.NULL).select("project", F.col("src").alias("dst"), F.col("function").alias("user"))
+    next_ = own.join(t.edges, ["project", "function"]).select("project", "anchor", "dst").distinct().join(after, ["project", "dst"])
     return own.union(next_.select("project", "anchor", F.col("user").alias("function"))).distinct()
 
 
+def needed(f: Facts, rule):
+    """What ``rule`` says of the entries, all tables by project."""
+    return rule(*[placed(df, "project") for df in (needing(f), f.functions, f.handles, f.ownership)])
+
+
 def names(bits: str) -> str:
     return f"concat_ws(',', CASE WHEN {bits} & 1 > 0 THEN 'ISF' END, CASE WHEN {bits} & 2 > 0 THEN 'PRF' END, CASE WHEN {bits} & 4 > 0 THEN 'HPF' END)"
 
@@ -80,27 +123,27 @@ def masked(t: Tables):
 register("g5_role_masks", masked, f"WITH {GRAPH}, m AS (SELECT project, function, count(*) AS edges, bit_or(roles & 6) AS m FROM graph WHERE entry GROUP BY 1, 2) SELECT project, function, edges, {names('m')} AS kept_roles, CASE WHEN m > 0 THEN 'masked' ELSE 'removed' END AS as_other FROM m")
 register(
     "g6_triplet_functions",
-    lambda t: found(t).functions.select(*KEY, "function", R.role_names(F.col("roles")).alias("roles"), F.when(F.col("function") == F.col("anchor"), "isf").when(R.has(F.col("roles"), R.PRF), "prf").when(R.has(F.col("roles"), R.HPF), "hpf").otherwise("other").alias("part")),
+    lambda t: found(facts(t)).functions.select(*KEY, "function", R.role_names(F.col("roles")).alias("roles"), F.when(F.col("function") == F.col("anchor"), "isf").when(R.has(F.col("roles"), R.PRF), "prf").when(R.has(F.col("roles"), R.HPF), "hpf").otherwise("other").alias("part")),
     f"WITH RECURSIVE {TRIPLETS} SELECT project, anchor, function, {names('roles')} AS roles, CASE WHEN function = anchor THEN 'isf' WHEN roles & 2 > 0 THEN 'prf' WHEN roles & 4 > 0 THEN 'hpf' ELSE 'other' END AS part FROM final WHERE {SMALL}",
 )
 register(
     "g6_triplet_edges",
-    lambda t: found(t).edges.select(*KEY, "function", "src", "dst", R.role_names(F.col("roles")).alias("roles"), "inferred", F.coalesce("reason", F.lit("")).alias("reason")),
+    lambda t: found(facts(t)).edges.select(*KEY, "function", "src", "dst", R.role_names(F.col("roles")).alias("roles"), "inferred", F.coalesce("reason", F.lit("")).alias("reason")),
     f"""WITH RECURSIVE {TRIPLETS}, every AS (SELECT *, NULL::VARCHAR AS reason FROM inner_ UNION ALL SELECT project, anchor, function, src, dst, roles, inferred, NULL::VARCHAR FROM real_ UNION ALL SELECT * FROM made)
 SELECT project, anchor, function, src, dst, {names('bit_or(roles)')} AS roles, bool_and(inferred) AS inferred, coalesce(min(reason), '') AS reason FROM every WHERE {SMALL} GROUP BY project, anchor, function, src, dst""",
 )
 register(
     "g6_triplet_nodes",
-    lambda t: found(t).nodes,
+    lambda t: found(facts(t)).nodes,
     f"""WITH RECURSIVE {TRIPLETS}, every AS (SELECT *, false AS closure FROM nodes UNION ALL SELECT project, anchor, resource_type, false, false, true FROM closures)
 SELECT project, anchor, node, bool_or(into_) AS "into", bool_or(out_of) AS out_of, bool_or(closure) AS closure FROM every WHERE node <> '(null)' AND {SMALL} GROUP BY 1, 2, 3""",
 )
-register("g6_oversize_triplets", lambda t: found(t).excluded, f"WITH RECURSIVE {TRIPLETS} SELECT * FROM oversize")
+register("g6_oversize_triplets", lambda t: found(facts(t)).excluded, f"WITH RECURSIVE {TRIPLETS} SELECT * FROM oversize")
 register(
     "j11_lifecycle_closure",
-    lambda t: R.chosen_relations(needing(t), t.ft_functions, t.ft_handles, t.ft_ownership).withColumn("consumers", F.array_join(F.col("consumers").cast("array<string>"), ",")),
+    lambda t: needed(facts(t), R.chosen_relations).withColumn("consumers", F.array_join(F.col("consumers").cast("array<string>"), ",")),
     f"""WITH own AS (SELECT project, function AS anchor, function FROM @ft_functions WHERE roles & 1 > 0),
 selected AS (SELECT * FROM own UNION SELECT e.project, anchor, n.function FROM own JOIN @ft_edges e ON e.project = own.project AND e.function = own.function JOIN @ft_edges n ON n.project = e.project AND n.src = e.dst WHERE n.src <> '(null)'),
 {CLOSURE} SELECT * REPLACE (array_to_string(consumers, ',') AS consumers) FROM closures""",
 )
-register("j11_closed_lifecycles", lambda t: R.close_lifecycles(needing(t), t.ft_functions, t.ft_handles, t.ft_ownership).withColumn("consumers", F.array_join(F.col("consumers").cast("array<string>"), ",")))
+register("j11_closed_lifecycles", lambda t: needed(facts(t), R.close_lifecycles).withColumn("consumers", F.array_join(F.col("consumers").cast("array<string>"), ",")))

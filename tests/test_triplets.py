@@ -6,6 +6,7 @@ from operator import or_
 
 import pytest
 
+from campaignlens.operators import near
 from campaignlens.operators import triplets as R
 
 N = R.NULL
@@ -158,6 +159,22 @@ def test_every_part_as_by_hand(extracted, worlds):
     assert len(closures) > 100 and sum(r[-1] is not None for r in edges) > 30 and extracted.excluded.isEmpty()
 
 
+def test_projects_are_traversed_within_tasks(spark, worlds, monkeypatch):
+    """A round shuffles what was seen; only projects too large for a task take rounds."""
+    edges, functions, _, opaque, ownership = tables(spark, worlds)
+    graph = R.masked_edges(edges, functions)
+    shortcuts = graph.where((R.F.col("src") == N) & R.F.col("entry")).select("project", R.F.col("function").alias("anchor")).distinct()
+    known = R.lying(R.marked(graph, opaque, shortcuts))
+    read = lambda df: sorted(tuple(r) for r in df.select("project", "anchor", "node", "into", "out_of").collect())
+    want = read(R.reached_by_rounds(known))
+    for largest in (0, 12):
+        assert read(R.reached_nodes(known, largest)) == want
+    monkeypatch.setattr(R, "fixpoint", None)
+    for chunk in (R.LARGEST, 20):
+        monkeypatch.setattr(near, "CHUNK", chunk)
+        assert read(R.reached_nodes(known)) == want and len(want) > 300
+
+
 def test_oversize_anchors_are_listed(spark, worlds, extracted):
     few = R.extract(*tables(spark, worlds), most=3)
     sizes = {(r.project, r.anchor): r["count"] for r in extracted.functions.groupBy("project", "anchor").count().collect()}
