@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from campaignlens.operators.graph import reachable
+from campaignlens.operators.near import large_graphs, near_chains
 from campaignlens.plans.fixpoint import fixpoint, written
 from campaignlens.storage import discard
 
@@ -29,14 +30,22 @@ def chased(step: DataFrame) -> DataFrame:
     return now
 
 
-def alias_roots(aliases: DataFrame) -> DataFrame:
+def alias_roots(aliases: DataFrame, graph: Callable[[Column], Column] | None = None, largest: int = 1_000_000) -> DataFrame:
     """(name, root, offset, cyclic) of each aliased name of (name, target, offset): the end of its chain and the summed offsets.
 
     A chain that runs into a cycle stops at the first name of it, and a name on a cycle is its own root, without an offset. Of several
-    targets of a name the least counts; rows without a name or target are left out, a null offset is 0.
+    targets of a name the least counts; rows without a name or target are left out, a null offset is 0. Where ``graph`` gives the number of a name's graph, which no alias leaves,
+    graphs of up to ``largest`` names are followed within a task.
     """
     pairs = aliases.where("name IS NOT NULL AND target IS NOT NULL").groupBy("name").agg(F.min(F.struct("target", F.coalesce("offset", F.lit(0)).cast("long").alias("offset"))).alias("t"))
     step = written(pairs.select("name", "t.target", "t.offset"))
+    if graph is not None:
+        large = written(large_graphs(F.col("name"), step, graph, largest))
+        if large.isEmpty():
+            return near_chains(step, graph)
+        marked = step.withColumn("graph", graph(F.col("name")).cast("long"))
+        near = near_chains(marked.join(large, "graph", "left_anti"), graph)
+        return near.unionByName(alias_roots(marked.join(large, "graph", "left_semi").select("name", "target", "offset")))
     ends = chased(step)
     loops = written(ends.where("open").select(F.col("at").alias("name")).distinct())
     if loops.isEmpty():

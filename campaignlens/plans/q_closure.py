@@ -17,7 +17,7 @@ def aliases(t):
 
 register(
     "g10_alias_roots",
-    lambda t: C.alias_roots(aliases(t)),
+    lambda t: C.alias_roots(aliases(t), t.graph),
     """WITH RECURSIVE step AS (SELECT src AS name, min(dst) AS target, min_by(label, (dst, label)) AS k FROM @edges GROUP BY src),
 walk(name, stop, k, seen) AS (SELECT name, target, k::BIGINT, [name] FROM step UNION ALL SELECT w.name, s.target, w.k + s.k, list_append(w.seen, w.stop) FROM walk w JOIN step s ON s.name = w.stop WHERE NOT list_contains(w.seen, w.stop)),
 ends AS (SELECT *, list_contains(seen, stop) AS cyclic, row_number() OVER (PARTITION BY name ORDER BY len(seen) DESC) AS i FROM walk),
