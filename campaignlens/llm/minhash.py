@@ -87,11 +87,15 @@ def signature(shingles: np.ndarray, scale: np.ndarray = SCALE, shift: np.ndarray
     return low
 
 
-def sketches(low: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Odd sketches of rows of samples: each sample flips one bit."""
-    bit = (mixed(low ^ np.arange(low.shape[1], dtype=np.uint64) * BASE) % np.uint64(bits)).astype(np.int64)
-    flips = np.bincount((bit + np.arange(len(low))[:, None] * bits).ravel(), minlength=len(low) * bits)
-    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(len(low), -1)
+def sketches(low: np.ndarray, bits: int = SKETCH_BITS, most: int = 1 << 19) -> np.ndarray:
+    """Odd sketches of rows of samples: each sample flips one bit. Some rows at a time, so that their counts of flips stay below ``most``."""
+    out = np.empty((len(low), bits // 64), np.int64)
+    for i in range(0, len(low), max(1, most // bits)):
+        part = low[i : i + max(1, most // bits)]
+        bit = (mixed(part ^ np.arange(part.shape[1], dtype=np.uint64) * BASE) % np.uint64(bits)).astype(np.int64)
+        flips = np.bincount((bit + np.arange(len(part))[:, None] * bits).ravel(), minlength=len(part) * bits)
+        out[i : i + len(part)] = np.packbits((flips & 1).astype(np.uint8)).view(np.int64).reshape(len(part), -1)
+    return out
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
@@ -150,8 +154,10 @@ def widely_sketched(df: DataFrame, text_col: str, size: int) -> DataFrame:
 
     def make():
         def apply(texts):
-            low = [signature(shingle_set(t, size), WIDE_SCALE, WIDE_SHIFT) for t in texts]
-            return [_lists(sketches(np.array(low).reshape(len(texts), WIDE_SAMPLES), WIDE_BITS))]
+            made = np.empty((len(texts), WIDE_BITS // 64), np.int64)
+            for i, t in enumerate(texts):
+                made[i] = sketches(signature(shingle_set(t, size), WIDE_SCALE, WIDE_SHIFT)[None], WIDE_BITS)[0]
+            return [_lists(made)]
 
         return apply
 

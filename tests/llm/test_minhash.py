@@ -103,3 +103,15 @@ def test_pairs_of_one_bucket_in_many_tasks(spark):
     docs = documents(9)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {tuple(r) for r in minhash.near_duplicates(df, size=4, cell_pairs=2, broadcast_bytes=1, broadcast_ids=1).collect()} == brute(docs, 4, 80)
+
+
+def test_sketches_of_a_batch_take_little_memory():
+    import tracemalloc
+
+    low = np.random.default_rng(1).integers(0, 2**64, (2000, minhash.WIDE_SAMPLES), np.uint64)
+    tracemalloc.start()
+    made = minhash.sketches(low, minhash.WIDE_BITS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # all rows at once took hundreds of MB in each worker
+    assert (made == minhash.sketches(low, minhash.WIDE_BITS, 1 << 40)).all() and (made[:7] == minhash.sketches(low[:7], minhash.WIDE_BITS, 1)).all()
