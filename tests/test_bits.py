@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from campaignlens.operators import bits as B
 from campaignlens.operators import graph as G
-from campaignlens.plans import all_queries
+from campaignlens.plans import all_queries, q_graph
+from campaignlens.plans.q_whole import Whole
 
 rows = lambda df: sorted(tuple(r) for r in df.collect())
 
@@ -56,3 +57,13 @@ def test_totals_list_no_pairs_of_large_anchors(spark, sf_dir, name, monkeypatch)
 
     monkeypatch.setattr(G, "reachable", few)
     assert all_queries.QUERIES[name](spark, sf_dir).count() > 100
+
+
+@pytest.mark.parametrize("name", ["g3_ancestors_whole", "g4_bounded_reachability_whole"])
+def test_twins_list_all_pairs(spark, sf_dir, name):
+    t = Whole(spark, sf_dir)
+    back = F.col("dst").alias("src"), F.col("src").alias("dst")
+    stops = t.functions.where("is_static").select(F.col("function_id").alias("node"))
+    pairs, boundary = (q_graph.trav(t).select(*back), None) if name == "g3_ancestors_whole" else (q_graph.trav(t), stops)
+    want = rows(G.reachable(pairs, q_graph.starts(t), boundary).select("anchor", "node"))
+    assert rows(all_queries.QUERIES[name](spark, sf_dir).select("anchor", "node")) == want and len(want) > 10_000
