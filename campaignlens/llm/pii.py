@@ -6,7 +6,8 @@ score them by their format and their surroundings. Labels come from what the tre
 identifier whether a word such as "phone" or "passport" stands before it, of a spelled-out address whether it ends in a
 well-known domain. So a format which such words usually announce is found also where none does. For each added kind a threshold is calibrated
 on documents of a held-out fold. Each feature has few levels, so a count for each combination of
-levels is all that training needs: Spark aggregates it, and training reads a bounded number of the most frequent combinations.
+levels is all that training needs: Spark aggregates it. Where combinations are few, training reads them all; where they are many, they stay in Spark, and
+training reads sums of gradients for each leaf, feature and level.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from campaignlens.llm.common import materialize
@@ -179,7 +180,7 @@ class Tree:
     high: Tree | None = None
     value: float = 0.0
 
-    def column(self, span: Column) -> Column:
+    def column(self, span: Column | DataFrame) -> Column:
         if self.feature < 0:
             return F.lit(self.value)
         return F.when(span[FEATURES[self.feature]] <= self.cut, self.low.column(span)).otherwise(self.high.column(span))
@@ -254,13 +255,73 @@ def _scaled(tree: Tree, rate: float) -> Tree:
     return Tree(tree.feature, tree.cut, _scaled(tree.low, rate), _scaled(tree.high, rate))
 
 
+def grow_spread(rows: DataFrame, depth: int) -> Tree:
+    """``grow`` where combinations are rows with ``g`` and ``h``: each level of the tree is one sum for each leaf, feature and level of the feature."""
+    splits: dict[int, tuple[int, int]] = {}
+    values: dict[int, float] = {}
+
+    def leaf(n: int) -> Column:
+        if n not in splits:
+            return F.lit(n)
+        f, cut = splits[n]
+        return F.when(F.col(FEATURES[f]) <= cut, leaf(2 * n)).otherwise(leaf(2 * n + 1))
+
+    def tree(n: int) -> Tree:
+        if n not in splits:
+            return Tree(value=values[n])
+        f, cut = splits[n]
+        return Tree(f, cut, tree(2 * n), tree(2 * n + 1))
+
+    for level in range(depth + 1):
+        parts = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(c).cast("int").alias("v")) for f, c in enumerate(FEATURES)])).alias("x")
+        sums: dict[int, dict[int, dict[int, tuple[float, float]]]] = {}
+        for r in rows.select(leaf(1).alias("leaf"), "g", "h", parts).groupBy("leaf", "x.f", "x.v").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
+            sums.setdefault(r.leaf, {}).setdefault(r.f, {})[r.v] = r.g, r.h
+        for n in [n for n in sums if n >= 2**level]:  # leaves of this level; those above it have their values
+            by = {f: np.array([(v, *gh) for v, gh in sorted(levels.items())]) for f, levels in sorted(sums[n].items())}
+            g, h = by[0][:, 1].sum(), by[0][:, 2].sum()
+            values[n], best = float(-g / (h + 1.0)), 1e-6
+            for f, x in by.items() if level < depth else ():
+                for i in range(1, len(x)):
+                    low_g, low_h = x[:i, 1].sum(), x[:i, 2].sum()
+                    if (found := low_g**2 / (low_h + 1.0) + (g - low_g) ** 2 / (h - low_h + 1.0) - g**2 / (h + 1.0)) > best + 1e-9:
+                        best, splits[n] = found, (f, int(x[i - 1, 0]))
+    return tree(1)
+
+
+def fit_spread(table: DataFrame, rounds: int = 25, depth: int = 3, rate: float = 0.3, precision: float = 0.5, fewest: int = 3, bins: int = 256) -> Boosted | None:
+    """``fit_boosted`` on all combinations of ``table`` (features, ones, all, held_ones, held), which stay in Spark; of any number."""
+    total = table.agg(F.sum("ones").alias("ones"), F.sum("all").alias("all")).first()
+    if not total.ones or total.ones == total.all:
+        return None
+    share = min(max(total.ones / max(1, total.all), 1e-3), 1 - 1e-3)
+    base = float(np.log(share / (1 - share)))
+    model = Boosted((), base, {})
+    for _ in range(rounds):
+        p = model.score(table)
+        rows = table.withColumn("p", p).withColumn("g", F.col("all") * F.col("p") - F.col("ones")).withColumn("h", F.col("all") * F.col("p") * (1 - F.col("p")))
+        model = Boosted((*model.trees, _scaled(grow_spread(rows, depth), rate)), base, {})
+    # Held-out labels by score, from the highest on: sums over bins of scores first, then within each bin, so that no task has all scores.
+    scored = table.where(F.col("rank").isin(*[list(PATTERNS).index(k) for k in ADDED_KINDS])).select("rank", model.score(table).alias("p"), "held_ones", "held")
+    scored = scored.groupBy("rank", "p").agg(F.sum("held_ones").alias("ones"), F.sum("held").alias("all")).withColumn("bin", F.floor(F.col("p") * bins))
+    wide = Window.partitionBy("rank").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    before = scored.groupBy("rank", "bin").agg(F.sum("ones").alias("o"), F.sum("all").alias("a"))
+    before = before.select("rank", "bin", F.coalesce(F.sum("o").over(wide), F.lit(0)).alias("o"), F.coalesce(F.sum("a").over(wide), F.lit(0)).alias("a"))
+    within = Window.partitionBy("rank", "bin").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = scored.join(before, ["rank", "bin"]).select("rank", "p", (F.col("o") + F.sum("ones").over(within)).alias("ones"), (F.col("a") + F.sum("all").over(within)).alias("all"))
+    good = upto.where((F.col("ones") >= precision * F.col("all")) & (F.col("all") >= fewest)).groupBy("rank").agg(F.min("p").alias("p"))
+    return Boosted(model.trees, base, {list(PATTERNS)[r["rank"]]: r["p"] - 1e-9 for r in good.orderBy("rank").collect()})
+
+
 def train(proposed: DataFrame, combinations: int = 20_000) -> Boosted | None:
-    """Count combinations of levels over all spans by label and fold, and fit on the ``combinations`` most frequent. Without both labels there is no model."""
+    """Count combinations of levels over all spans by label and fold, and fit on all of them: up to ``combinations`` are read, more stay in Spark. Without both labels there is no model."""
     rows = proposed.select(F.explode("found").alias("s"), "fold").select("s.*", "fold")
     held = F.col("fold") == 0
     count = lambda c: F.sum(c.cast("int")).alias
     table = rows.groupBy(*FEATURES).agg(count(F.col("ok") & ~held)("ones"), count(~held)("all"), count(F.col("ok") & held)("held_ones"), count(held)("held"))
-    got = table.orderBy(F.desc(F.col("all") + F.col("held")), *FEATURES).limit(combinations).collect()
+    got = table.orderBy(F.desc(F.col("all") + F.col("held")), *FEATURES).limit(combinations + 1).collect()
+    if len(got) > combinations:
+        return fit_spread(materialize(table, "combinations"))
     x = np.array([[r[f] for f in FEATURES] for r in got], int).reshape(-1, len(FEATURES))
     ones, all_, h1, h = (np.array([r[c] for r in got], float) for c in ("ones", "all", "held_ones", "held"))
     if not ones.sum() or ones.sum() == all_.sum():

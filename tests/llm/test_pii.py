@@ -69,6 +69,19 @@ def test_added_spans_and_their_held_out_precision(spark):
     assert right > 600 and silent > 150 and right >= 0.95 * found
 
 
+def test_no_combination_is_left_out_of_training(spark):
+    """Training that reads few combinations at once equals that which reads all."""
+    texts = [(i, announced(i)[0]) for i in range(200)]
+    proposed = pii.propose(spark.createDataFrame(texts, "doc_id long, text string")).localCheckpoint()
+    whole, spread = pii.train(proposed), pii.train(proposed, 5)
+    assert whole.thresholds.keys() == spread.thresholds.keys() and len(whole.thresholds) >= 2
+    assert all(abs(whole.thresholds[k] - spread.thresholds[k]) < 1e-6 for k in whole.thresholds)
+    spans = proposed.select(pii.F.explode("found").alias("s")).select("s.*")
+    differ = spans.where(pii.F.abs(whole.score(spans) - spread.score(spans)) > 1e-6).count()
+    assert differ == 0 and spans.count() >= 1000
+    assert pii.train(proposed.withColumn("found", pii.F.filter("found", lambda x: ~x["ok"])), 5) is None
+
+
 def test_trees_decide(spark):
     """Formats that nothing ever announces are not found; without the trees' threshold they would be."""
     rows = [(i, f"call 555-{1000 + i} now, item {1000000 + i} of 2024-01-{10 + i % 20}") for i in range(60)] + [(99, "say 555-4321 twice")]
