@@ -67,3 +67,10 @@ def test_twins_list_all_pairs(spark, sf_dir, name):
     pairs, boundary = (q_graph.trav(t).select(*back), None) if name == "g3_ancestors_whole" else (q_graph.trav(t), stops)
     want = rows(G.reachable(pairs, q_graph.starts(t), boundary).select("anchor", "node"))
     assert rows(all_queries.QUERIES[name](spark, sf_dir).select("anchor", "node")) == want and len(want) > 10_000
+
+
+def test_descendants_list_all_pairs(spark, sf_dir):
+    t = Whole(spark, sf_dir)
+    want = rows(G.reachable(q_graph.trav(t), q_graph.starts(t)).select("anchor", "node"))
+    got = all_queries.QUERIES["g3_descendants_whole"](spark, sf_dir)
+    assert got.columns == ["anchor", "node"] and rows(got) == want and len(want) > 10_000
