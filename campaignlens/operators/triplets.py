@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from campaignlens.operators.near import by_project
 from campaignlens.plans.fixpoint import fixpoint, written
-from campaignlens.storage import placed
+from campaignlens.storage import buckets, placed
 
 ISF, PRF, HPF = 1, 2, 4
 NULL = "(null)"
@@ -94,7 +94,7 @@ def reached_nodes(graph: DataFrame, largest: int | None = None) -> DataFrame:
     more = not large.isEmpty()
     stop = lambda end: (F.col(f"{end}_opaque") | (F.col(end) == NULL)).alias(f"{end}_stop")
     small = graph.join(large, "project", "left_anti") if more else graph
-    rows = small.select("project", "function", "src", "dst", "entry", stop("src"), stop("dst"), "held").repartition(int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions")), "project").sortWithinPartitions("project")
+    rows = small.select("project", "function", "src", "dst", "entry", stop("src"), stop("dst"), "held").repartition(buckets(graph.sparkSession), "project").sortWithinPartitions("project")
     kinds = {c: graph.schema[c].dataType.simpleString() for c in ("project", "function", "src")}
     near = placed(rows.mapInArrow(by_project, f"project {kinds['project']}, anchor {kinds['function']}, node {kinds['src']}, into boolean, out_of boolean"), "project", spread=False)
     return lying(near.union(reached_by_rounds(graph.join(large, "project", "left_semi")))) if more else near

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from campaignlens.operators import triplets as R
 from campaignlens.plans.registry import register
 from campaignlens.plans.tables import FUNCTION, OPAQUE, ORDER, PROJECT, STRUCT, Tables
-from campaignlens.storage import placed
+from campaignlens.storage import buckets, placed, size_buckets
 
 #: Anchors of more functions than this are left out.
 MOST = 30
@@ -25,12 +25,12 @@ class Facts(NamedTuple):
 
 def facts(t: Tables) -> Facts:
     """The relations ``ft_*`` of ``tables``, from one join of the lines with their parts and one shuffle by project; of lines without a part functions alone are known."""
-    n = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    size_buckets(t.spark, t.base("lineitem").count())
     rows = t.spark.sql(
         f"""SELECT {PROJECT} AS project, CAST({FUNCTION} AS BIGINT) AS function, l_orderkey, {ORDER}, l_returnflag, l_discount, l_tax, p_partkey IS NOT NULL AS known, CASE WHEN p_partkey IS NOT NULL THEN {STRUCT} END AS src, p_brand, {OPAQUE} AS is_opaque
         FROM {{lineitem}} LEFT JOIN {{part}} ON p_partkey = l_partkey""",
         lineitem=t.base("lineitem"), part=t.base("part"),
-    ).repartition(n, "project")
+    ).repartition(buckets(t.spark), "project")
     of_order = f"OVER (PARTITION BY project, known, l_orderkey ORDER BY {ORDER})"
     rows = rows.select(
         "project", "function", "known", "src", F.expr(f"lead(src) {of_order}").alias("dst"), F.expr("CASE l_returnflag WHEN 'A' THEN 2 WHEN 'R' THEN 4 ELSE 0 END").alias("label"), F.expr("l_discount > 0.05").alias("inferred"),
