@@ -94,7 +94,7 @@ def opportunity(parts: R.Triplets, files: DataFrame) -> DataFrame:
     nodes = parts.nodes.groupBy(*R.KEY).agg(F.count("*").alias("structures"))
     sources = parts.functions.join(files, ["project", "function"]).groupBy(*R.KEY).agg(F.countDistinct("file").alias("files"))
     edges = parts.edges.groupBy(*R.KEY).agg(F.count("*").alias("edges"))
-    rows = reduce(lambda a, b: a.join(b, R.KEY, "left"), [of, nodes, sources, edges]).na.fill(0)
+    rows = reduce(lambda a, b: a.join(b.hint("merge"), R.KEY, "left"), [of, nodes, sources, edges]).na.fill(0)
     full = lambda c, n: F.least(F.lit(1.0), F.col(c) / n)
     return rows.select(*R.KEY, F.round(0.5 * full("prfs", 4) + 0.25 * full("structures", 3) + 0.15 * full("files", 3) + 0.1 * full("edges", 6), 6).alias("score"))
 

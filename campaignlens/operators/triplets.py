@@ -150,7 +150,7 @@ def chosen_relations(selected: DataFrame, functions: DataFrame, handles: DataFra
     rows = ["relation", "resource_type", "cleanup", "confidence", "name"]
     direct = selected.withColumnRenamed("function", "producer").join(sure, ["project", "producer"]).select(*KEY, *rows, "producer")
     shaped = selected.join(known.select("project", "function", "shape"), ["project", "function"]).join(sure.drop("producer"), ["project", "shape"])
-    shaped = shaped.groupBy(*KEY, *rows).agg(F.min("function").alias("producer")).join(direct.select(*KEY, "relation"), [*KEY, "relation"], "left_anti")
+    shaped = shaped.groupBy(*KEY, *rows).agg(F.min("function").alias("producer")).join(direct.select(*KEY, "relation").hint("merge"), [*KEY, "relation"], "left_anti")
     mine = together(direct, shaped).withColumn("mine", F.lit(True))
     other = users.select(*KEY, "resource_type").distinct().join(sure, ["project", "resource_type"]).join(mine.select(*KEY, "relation"), [*KEY, "relation"], "left_anti")
     all_of = together(mine, other.select(*KEY, *rows, "producer", F.lit(False).alias("mine"))).join(known.select("project", F.col("function").alias("producer"), "n_params"), ["project", "producer"], "left")
@@ -245,5 +245,5 @@ def extract(edges: DataFrame, functions: DataFrame, handles: DataFrame, opaque:
     both = both.where(F.col("node") != NULL).groupBy(*KEY, "node").agg(*[F.bool_or(c).alias(c) for c in ("into", "out_of", "closure")])
     sizes = final.groupBy(*KEY).agg(F.count("*").alias("n_functions"))
     excluded = lying(sizes.where(F.lit(False) if most is None else F.col("n_functions") > most))
-    kept = [df.join(excluded.select(*KEY), KEY, "left_anti") for df in (final, both, every, closures)]
+    kept = [df.join(excluded.select(*KEY), KEY, "left_anti").hint("merge") for df in (final, both, every, closures)]
     return Triplets(*kept, excluded)
